@@ -1,4 +1,10 @@
 """Registered queries and the SQL they are checked against."""
 
-from panelforge.catalog import metric_queries, prepare_queries, profile_queries, survey_queries  # noqa: F401
+from panelforge.catalog import (  # noqa: F401
+    metric_queries,
+    page_queries,
+    prepare_queries,
+    profile_queries,
+    survey_queries,
+)
 from panelforge.catalog.registry import REGISTRY  # noqa: F401

@@ -169,3 +169,126 @@ scored AS (
   FROM (SELECT o_orderkey AS id, y, floor(({sql_uniform('o_orderkey', 'score')} * 0.75::DOUBLE + y * 0.25::DOUBLE) * 100) / 100.0::DOUBLE AS score
         FROM (SELECT *, CASE WHEN o_orderpriority = '1-URGENT' OR (o_orderstatus = 'O' AND o_totalprice > 250000) THEN 1 ELSE 0 END AS y FROM orders)))
 """
+
+# --- review pages -----------------------------------------------------------
+
+ADDRESS = "https://reviews.example/browse/%s?brand=f&page=%s#evaluations"
+
+# Each order is one page with two profile blocks: the customer with the latest
+# and an older evaluation, and the customer's nation as a second reviewer. Field
+# definitions are SQL text that both engines read alike.
+_BLOCKS = {
+    "customer": {
+        "username": "c_name",
+        "age": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(18 + c_nationkey AS STRING) END",
+        "sex": "CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END",
+        "country": "CASE WHEN c_nationkey % 3 = 0 THEN 'United States' WHEN c_nationkey % 3 = 1 THEN 'Canada' ELSE n_name END",
+        "state": "concat('state ', c_nationkey)",
+        "first_diagnosis_date": "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST(year(o_orderdate) AS STRING) END",
+        "primary_condition": "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE lower(c_mktsegment) END",
+        "side_effects": "substr(o_orderpriority, 3)",
+        "adherence": "CASE o_orderkey % 5 WHEN 0 THEN 'Always' WHEN 1 THEN 'Usually' WHEN 2 THEN 'Sometimes' WHEN 3 THEN 'Never taken as prescribed' ELSE 'Not sure' END",
+        "burden": "CASE WHEN o_totalprice > 250000 THEN 'Hard & long' ELSE 'A little \"hard\"' END",
+        "dosage": "CASE WHEN o_orderstatus = 'F' THEN concat(o_orderkey % 100, ' mg daily') ELSE 'NA' END",
+        "advice": "CASE WHEN o_orderpriority = '1-URGENT' THEN concat('take <early> at ', o_orderkey % 24) ELSE 'NA' END",
+        "cost": "CASE WHEN o_totalprice > 100000 THEN concat('$', CAST(floor(o_totalprice / 1000) AS BIGINT)) ELSE 'NA' END",
+        "profile_bio": "concat('\"', c_mktsegment, '\" & more')",
+    },
+    "nation": {
+        "username": "n_name",
+        "age": "CAST(30 + n_regionkey AS STRING)",
+        "sex": "CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE 'female' END",
+        "country": "'Mexico'",
+        "state": "concat('region ', n_regionkey)",
+        "first_diagnosis_date": "'2001'",
+        "primary_condition": "'travel'",
+        "side_effects": "'None'",
+        "adherence": "'Always'",
+        "burden": "'Not at all hard'",
+        "dosage": "'NA'",
+        "advice": "'NA'",
+        "cost": "'NA'",
+        "profile_bio": "'-'",
+    },
+}
+
+
+def _escaped(column):
+    for character, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        column = F.replace(column, F.lit(character), F.lit(reference))
+    return column
+
+
+def review_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders written out as review pages (page_id, url, html)."""
+    orders = read_table(spark, folder, "orders")
+    customers = read_table(spark, folder, "customer")
+    nations = read_table(spark, folder, "nation")
+    rows = orders.join(customers, orders.o_custkey == customers.c_custkey).join(
+        nations, customers.c_nationkey == nations.n_nationkey
+    )
+
+    def block(fields: dict, older: bool):
+        f = {name: F.expr(text) for name, text in fields.items()}
+        attributes = F.to_json(
+            F.struct(
+                f["username"].alias("userName"), f["age"].alias("userAge"), f["sex"].alias("sex"),
+                f["country"].alias("country"), f["state"].alias("state"),
+                f["first_diagnosis_date"].alias("firstDiagnosisDate"),
+                f["primary_condition"].alias("primaryConditionName"),
+                F.array(F.col("c_mktsegment"), F.col("n_name")).alias("secondaryConditionNames"),
+                f["profile_bio"].alias("briefBio"),
+            )
+        )
+        pieces = [
+            F.lit('<div class="summary"><div data-react-class="ProfileSummaryPropsContainer" data-react-props="'),
+            _escaped(attributes),
+            F.lit('"></div></div><div class="eval-details"><h3>'),
+            F.date_format("o_orderdate", "MMM d, yyyy"),
+            F.lit("</h3><div>"),
+        ]
+        for name, label in (("side_effects", "Side effects"), ("adherence", "Adherence"), ("burden", "Burden")):
+            pieces += [F.lit(f"<div><span>{label}</span></div><div>\n<b>rating</b>\n"), _escaped(f[name]), F.lit("\n</div>")]
+        for name, label in (("dosage", "Dosage:"), ("advice", "Advice &amp; Tips:"), ("cost", "Cost:")):
+            value = F.replace(_escaped(f[name]), F.lit(" daily"), F.lit("\ndaily"))
+            paragraph = F.concat(F.lit(f"<p>\n<strong>{label}</strong>\n"), value, F.lit("\n</p>"))
+            pieces.append(F.when(f[name] == "NA", F.lit("")).otherwise(paragraph))
+        pieces.append(F.lit("</div>"))
+        if older:
+            pieces.append(F.lit("<h3>Jan 1, 1990</h3><div><div><span>Side effects</span></div><div>\n\nOld\n</div></div>"))
+        pieces.append(F.lit("</div>"))
+        return F.concat(*pieces)
+
+    html = F.concat(
+        F.lit("<html><body><table><tr><td><a href='#'>"), F.col("c_mktsegment"), F.lit(" tablets</a></td><td>plain</td></tr></table>"),
+        F.when(
+            F.col("o_orderkey") % 3 == 0,
+            F.concat(
+                F.lit('<div role="navigation"><a href="#">1</a> <a href="#">'), (F.col("o_orderkey") % 6 + 2).cast("string"),
+                F.lit('</a> <a href="#" class="icon-only is-not-rwd next_page">Next</a></div>'),
+            ),
+        ).otherwise(F.lit("")),
+        block(_BLOCKS["customer"], older=True),
+        block(_BLOCKS["nation"], older=False),
+        # A third block without its evaluation, which the parser has to reject.
+        F.when(
+            F.col("o_orderkey") % 10 == 0,
+            F.lit('<div><div data-react-class="ProfileSummaryPropsContainer" data-react-props="{broken"></div></div>'),
+        ).otherwise(F.lit("")),
+        F.lit("</body></html>"),
+    )
+    drug = F.lower("c_mktsegment")
+    return rows.select(
+        F.col("o_orderkey").alias("page_id"),
+        F.format_string(ADDRESS, drug, F.col("o_orderkey").cast("string")).alias("url"),
+        html.alias("html"),
+    )
+
+
+_REVIEW_ROWS = """review_rows AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+REVIEWS = _REVIEW_ROWS + ", reviews AS (" + " UNION ALL ".join(
+    f"SELECT o_orderkey AS page_id, {position} AS position, lower(c_mktsegment) AS drug_name, "
+    + ", ".join(f"{text} AS {name}" for name, text in fields.items())
+    + ", concat(c_mktsegment, ', ', n_name) AS secondary_condition FROM review_rows"
+    for position, fields in enumerate(_BLOCKS.values(), start=1)
+) + ")"
