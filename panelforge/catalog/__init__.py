@@ -2,6 +2,7 @@
 
 from panelforge.catalog import (  # noqa: F401
     metric_queries,
+    model_queries,
     page_queries,
     prepare_queries,
     profile_queries,

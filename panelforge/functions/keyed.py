@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def named(name: str) -> Column:
+    """A column by its literal name; design columns may hold dots, as in `visits_9.0`."""
+    return F.col(f"`{name}`")
+
+
 def as_column(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 

@@ -73,6 +73,12 @@ def zero_if_undefined(column) -> Column:
     return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
 
 
+def correlation(first, second) -> Column:
+    """Pearson correlation as an aggregate; null for a constant column."""
+    a, b = as_column(first), as_column(second)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def is_positive(column) -> Column:
     return as_column(column) > 0
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelforge.functions.keyed import named
 from panelforge.operators.ranks import in_order
 
 # Columns with at most this many values are encoded by an in-plan array.
@@ -101,14 +102,14 @@ def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, flo
     """Mean and population deviation per column from one aggregate row."""
     aggregates = []
     for i, c in enumerate(columns):
-        aggregates += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}")]
+        aggregates += [F.avg(named(c)).alias(f"m{i}"), F.stddev_pop(named(c)).alias(f"s{i}")]
     row = df.agg(*aggregates).first()
     return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
 
 
 def standardised(column: str, mean: float, deviation: float) -> Column:
     """(x - mean) / deviation; a constant column is only centred."""
-    return (F.col(column) - F.lit(float(mean))) / F.lit(float(deviation) or 1.0)
+    return (named(column) - F.lit(float(mean))) / F.lit(float(deviation) or 1.0)
 
 
 def scaled(df: DataFrame, columns: Sequence[str], fitted: Mapping | None = None) -> DataFrame:
@@ -118,5 +119,5 @@ def scaled(df: DataFrame, columns: Sequence[str], fitted: Mapping | None = None)
 
 def varied_columns(df: DataFrame, columns: Sequence[str], threshold: float) -> list[str]:
     """Columns whose population variance is above the threshold."""
-    row = df.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
+    row = df.agg(*[F.var_pop(named(c)).alias(c) for c in columns]).first()
     return [c for c in columns if row[c] is not None and row[c] > threshold]

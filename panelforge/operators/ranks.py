@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelforge.functions.keyed import keyed_hash
+from panelforge.functions.keyed import keyed_hash, named
 from panelforge.session import cut
 
 # Hex digits of the hash that name a piece: 16**3 = 4096 pieces per group.
@@ -43,7 +43,7 @@ def hashed_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str
     return (
         numbered.join(offsets, [*by, piece])
         .withColumn(out, F.col("__row") + F.col(before))
-        .select(*df.columns, out)
+        .select(*[named(c) for c in df.columns], out)
     )
 
 
@@ -83,7 +83,7 @@ def in_order(df: DataFrame, *order, out: str = "position", running: Sequence[str
         ordered = ordered.select("*", *[F.sum(c).over(inside).alias(f"__inside_{c}") for c in running])
     joined = ordered.join(F.broadcast(offsets), piece)
     return joined.select(
-        *df.columns,
+        *[named(c) for c in df.columns],
         (F.col(row) + F.col("__before")).alias(out),
         *[(F.col(f"__inside_{c}") + F.col(f"__before_{c}")).alias(f"cum_{c}") for c in running],
         *[F.col(f"total_{c}") for c in running],

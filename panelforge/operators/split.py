@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelforge.functions.keyed import keyed_uniform
+from panelforge.functions.keyed import keyed_uniform, named
 from panelforge.operators.ranks import hashed_rank
 
 
@@ -14,7 +14,7 @@ def stratified_holdout(df: DataFrame, key: str, label: str, share: float = 0.2,
     ranked = hashed_rank(df, key, seed, by=[label], out="__position")
     # `sizes` has one row per class.
     marked = ranked.join(F.broadcast(sizes), label)
-    return marked.select(*df.columns, (F.col("__position") <= F.ceil(F.col("__n") * share)).alias("is_test"))
+    return marked.select(*[named(c) for c in df.columns], (F.col("__position") <= F.ceil(F.col("__n") * share)).alias("is_test"))
 
 
 def threshold_holdout(df: DataFrame, key: str, share: float = 0.2, seed=42) -> DataFrame:
@@ -25,4 +25,4 @@ def threshold_holdout(df: DataFrame, key: str, share: float = 0.2, seed=42) -> D
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 10, seed=42) -> DataFrame:
     """Add `fold` 0..folds-1; per class the fold sizes differ by at most one."""
     ranked = hashed_rank(df, key, seed, by=[label], out="__position")
-    return ranked.select(*df.columns, F.pmod(F.col("__position") - 1, F.lit(folds)).cast("int").alias("fold"))
+    return ranked.select(*[named(c) for c in df.columns], F.pmod(F.col("__position") - 1, F.lit(folds)).cast("int").alias("fold"))

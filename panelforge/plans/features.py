@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, functions as F
 
 from panelforge.functions import codebook as cb
-from panelforge.operators.columns import drop_columns
+from panelforge.functions.keyed import named
+from panelforge.operators.columns import drop_columns, feature_group
 from panelforge.operators.encode import moments, require_levels
 from panelforge.operators.filters import below
 from panelforge.operators.impute import impute_in_order
@@ -55,7 +56,7 @@ class Design:
 
     def apply(self, df: DataFrame, keep: Sequence[str] = (KEY, LABEL)) -> DataFrame:
         out = self.model.transform(df)
-        return out.select(*[c for c in keep if c in out.columns], *[F.col(f"`{c}`") for c in self.columns])
+        return out.select(*[c for c in keep if c in out.columns], *[named(c) for c in self.columns])
 
 
 def _stage(expressions: dict) -> SQLTransformer:
@@ -117,14 +118,8 @@ def design_table(
     return design.apply(split).join(marks, KEY), design.columns
 
 
-def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="keep").transform(df)
-
-
 def feature_groups(columns: Sequence[str]) -> dict[str, list[str]]:
     """The three column groups of the ablation."""
-    from panelforge.operators.columns import feature_group
-
     return {
         "all": list(columns),
         "demographic": feature_group(columns, cb.DEMOGRAPHIC_FEATURES),
