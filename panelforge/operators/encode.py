@@ -29,6 +29,17 @@ def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     return {c: list(row[c]) for c in small}
 
 
+def sql_literal(value) -> str:
+    """A value as SQL text. One parsed text builds faster than a literal per call."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        return f"double('{value!r}')"
+    if isinstance(value, (bool, int)):
+        return str(value)
+    raise TypeError(f"no literal for {type(value).__name__}")
+
+
 class LabelCodes:
     """Position of each value in the sorted distinct values, counted from zero.
 
@@ -38,15 +49,19 @@ class LabelCodes:
 
     def __init__(self, df: DataFrame, columns: Sequence[str]):
         self.columns = list(columns)
-        self.small = levels(df, self.columns)
-        self.tables = {
-            c: in_order(df.select(F.col(c).alias("value")).where("value is not null").distinct(), "value", out="code")
-            for c in self.columns
-            if c not in self.small
-        }
+        self.small, self.tables = {}, {}
+        self.refresh(df, self.columns)
+
+    def refresh(self, df: DataFrame, columns: Sequence[str]) -> None:
+        """Look at the values of some columns again, after they have changed."""
+        self.small.update(levels(df, columns))
+        for c in columns:
+            if c not in self.small:
+                values = df.select(F.col(c).alias("value")).where("value is not null").distinct()
+                self.tables[c] = in_order(values, "value", out="code")
 
-    def _array(self, column: str) -> Column:
-        return F.array(*[F.lit(v) for v in self.small[column]])
+    def _array(self, column: str) -> str:
+        return f"array({', '.join(map(sql_literal, self.small[column]))})"
 
     def encode(self, df: DataFrame, suffix: str = "") -> DataFrame:
         """Add `<column><suffix>` as double; null stays null."""
@@ -58,7 +73,7 @@ class LabelCodes:
             if c in self.tables:
                 code = F.col(f"__c_{c}")
             elif self.small[c]:
-                code = F.array_position(self._array(c), F.col(c)) - 1
+                code = F.expr(f"array_position({self._array(c)}, `{c}`) - 1")
             else:
                 code = F.lit(None)
             coded[f"{c}{suffix}"] = code.cast("double")
@@ -78,8 +93,7 @@ class LabelCodes:
     def decode(self, df: DataFrame, column: str, code: str, out: str) -> DataFrame:
         """Add the value that belongs to a code column."""
         if column in self.small:
-            value = F.get(self._array(column), F.col(code).cast("int"))
-            return df.withColumn(out, value)
+            return df.withColumn(out, F.expr(f"get({self._array(column)}, int(`{code}`))"))
         table = self.tables[column].select(F.col("value").alias(out), F.col("code").alias("__code"))
         return df.join(table, F.col(code).cast("long") == F.col("__code"), "left").drop("__code")
 

@@ -165,7 +165,8 @@ class BalancedClassifier(Estimator):
         balanced = oversampled(
             filled, key, label, slots(columns), self.getOrDefault("neighbours"), self.getOrDefault("seed")
         )
-        return stages, cut(stages[1].transform(balanced).select(key, label, "features"))
+        # Even partitions for the many passes of a fit.
+        return stages, cut(stages[1].transform(balanced).select(key, label, "features").hint("rebalance"))
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         stages, train = self.prepare(dataset)
@@ -204,7 +205,7 @@ def prepared_folds(
             stages, ready = chain.prepare(train)
         else:
             stages = feature_stages(train, columns, scale)
-            ready = cut(PipelineModel(stages).transform(train).select(key, label, "features"))
+            ready = cut(PipelineModel(stages).transform(train).select(key, label, "features").hint("rebalance"))
         scored = PipelineModel(stages).transform(test).select(key, label, "features")
         out.append(Fold(i, ready, ready.count(), cut(scored)))
     return out

@@ -32,7 +32,8 @@ MATRIX_VALUES = 2_000_000
 
 def vector_text(dims: Sequence[str]):
     """One text per distinct vector; equal texts mean equal values."""
-    return F.concat_ws(",", *[F.coalesce((F.col(d) + F.lit(0.0)).cast("string"), F.lit("_")) for d in dims])
+    values = F.array(*[F.col(d).cast("double") for d in dims])
+    return F.array_join(F.transform(values, lambda x: (x + F.lit(0.0)).cast("string")), ",", "_")
 
 
 def first_per_vector(df: DataFrame, vector: str, key: str, k: int) -> DataFrame:
