@@ -72,44 +72,61 @@ def profile(block="block") -> Column:
 
 def latest_evaluation(block="block") -> Column:
     """What follows the first date heading, up to the next one."""
-    return F.regexp_extract(block, r"(?s)<h3[^>]*>.*?</h3>(.*?)(?=<h3|$)", 1)
+    return F.regexp_replace(word_at(block, 1, "<h3"), r"(?s)^.*?</h3>", "")
 
 
 def headed_field(section, label: str) -> Column:
-    """Third text line of the element after a heading; null when it is absent."""
+    """Third text line of the element after a heading; null when there is none."""
     found = F.regexp_extract(section, rf"(?s)<span[^>]*>{label}</span>\s*</div>\s*<div[^>]*>(.*?)</div>", 1)
-    return F.nullif(word_at(without_tags(found), 2, "\n"), F.lit(""))
+    return word_at(without_tags(found), 2, "\n")
 
 
-def _labelled_paragraph(block, label: str) -> Column:
+def labelled_paragraph(block, label: str) -> Column:
+    """Text of the paragraph that a bold label opens; empty when there is none."""
     pattern = rf"(?s)<p[^>]*>([^<]*<strong[^>]*>{label}</strong>.*?)</p>"
     return unescaped(without_tags(F.regexp_extract(block, pattern.replace("&", "&amp;"), 1)))
 
 
-def optional_fields(block="block") -> dict[str, Column]:
-    """Dosage, advice and cost, with a default where a page does not have them."""
-    texts = {name: _labelled_paragraph(block, label) for name, label in cb.OPTIONAL_FIELDS.items()}
-    return {
-        "dosage": default_text(words_between(texts["dosage"], 2, 4), cb.NOT_GIVEN),
-        "advice": default_text(F.lower(word_at(texts["advice"], 2, "\n")), cb.NOT_GIVEN),
-        "cost": default_text(word_at(texts["cost"], 2, "\n"), cb.NOT_GIVEN),
-    }
-
-
 def _records(pages: DataFrame, drug: Column) -> DataFrame:
-    blocks = profile_blocks(pages.withColumn("drug_name", drug)).withColumn("__profile", profile())
-    section = latest_evaluation()
-    fields = {field: F.col(f"__profile.{name}") for name, field in cb.PROFILE_FIELDS.items()}
-    fields.update({name: unescaped(headed_field(section, label)) for name, label in cb.HEADED_FIELDS.items()})
-    fields.update(optional_fields())
-    return blocks.withColumns(fields).withColumn(
-        "__whole",
-        F.col("__profile").isNotNull()
-        & F.col("username").isNotNull()
-        & F.col("side_effects").isNotNull()
-        & F.col("adherence").isNotNull()
-        & F.col("burden").isNotNull(),
+    """Blocks with every field and a mark for those that have the required parts.
+
+    Each step is a projection whose results the next one uses more than once, so
+    none of the costly extractions is repeated.
+    """
+    blocks = profile_blocks(pages.withColumn("drug_name", drug))
+    parts = blocks.withColumns(
+        {
+            "__profile": profile(),
+            "__section": latest_evaluation(),
+            **{f"__{name}": labelled_paragraph("block", label) for name, label in cb.OPTIONAL_FIELDS.items()},
+        }
+    )
+    texts = parts.withColumns(
+        {
+            **{field: F.col(f"__profile.{name}") for name, field in cb.PROFILE_FIELDS.items()},
+            **{f"__{name}": unescaped(headed_field("__section", label)) for name, label in cb.HEADED_FIELDS.items()},
+            "__dosage": words_between("__dosage", 2, 4),
+            "__advice": F.lower(word_at("__advice", 2, "\n")),
+            "__cost": word_at("__cost", 2, "\n"),
+        }
     )
+    fields = texts.withColumns(
+        {
+            **{name: F.nullif(F.col(f"__{name}"), F.lit("")) for name in cb.HEADED_FIELDS},
+            **{name: default_text(f"__{name}", cb.NOT_GIVEN) for name in cb.OPTIONAL_FIELDS},
+        }
+    )
+    required = ["__profile", "username", *cb.HEADED_FIELDS]
+    return fields.withColumn("__whole", F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in required)))
+
+
+def _only(df: DataFrame, keep: Column, names: list[str]) -> DataFrame:
+    """Rows that pass a test on costly columns.
+
+    A plain filter would move below the projection and extract everything twice;
+    a list of one row or none stays above it.
+    """
+    return df.select(F.inline(F.when(keep, F.array(F.struct(*names)))))
 
 
 def drug_of_url(url="url") -> Column:
@@ -123,12 +140,12 @@ def parse_reviews(pages: DataFrame, drug: Column | None = None, personal: bool =
     """
     drug = drug_of_url() if drug is None else drug
     fields = [c for c in cb.REVIEW_RAW if personal or c not in ("username", "profile_bio")]
-    return _records(pages, drug).where("__whole").select("page_id", "position", *fields)
+    return _only(_records(pages, drug), F.col("__whole"), ["page_id", "position", *fields])
 
 
 def parse_rejects(pages: DataFrame) -> DataFrame:
     """Blocks that miss a required part, for inspection; the run goes on without them."""
-    return _records(pages, drug_of_url()).where(~F.col("__whole")).select("page_id", "position", "drug_name", "block")
+    return _only(_records(pages, drug_of_url()), ~F.col("__whole"), ["page_id", "position", "drug_name", "block"])
 
 
 def flat_conditions(reviews: DataFrame) -> DataFrame:
