@@ -8,6 +8,7 @@ from panelforge.catalog import views as v
 from panelforge.catalog.registry import query
 from panelforge.catalog.survey_queries import CLEAN
 from panelforge.functions import codebook as cb
+from panelforge.functions.keyed import named
 from panelforge.operators import split as sp
 from panelforge.operators.balance import oversampled
 from panelforge.operators.encode import scaled, varied_columns
@@ -87,36 +88,31 @@ def _text(value) -> str:
     return "'" + str(value).replace("'", "''") + "'"
 
 
-_LEVELS = {
-    "sex": ["F", "M"],
-    "parent": ["Nonparent", "Parent"],
-    "has_diabetes": ["No", "Yes"],
-    "has_hyperten": ["8.0", "9.0", "No", "Yes"],
-}
-
-
 def _design_sql() -> str:
-    parts = [v.sql_r6(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()") + f" AS {c}" for c in cb.NUMERIC_FEATURES]
+    """Long form, because the one-hot columns are the levels that occur."""
+    head = "SELECT respondent_id, label, "
+    parts = [
+        head + f"'{c}' AS feature, " + v.sql_r6(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()") + " AS value FROM used"
+        for c in cb.NUMERIC_FEATURES
+    ]
     for c in cb.ORDINAL_FEATURES:
         arms = " ".join(f"WHEN {_text(k)} THEN {r}" for k, r in cb.ORDINAL_RANKS[c].items())
-        parts.append(f"coalesce(CASE {c} {arms} END::DOUBLE, TRY_CAST({c} AS DOUBLE)) AS {c}")
-    for c, found in _LEVELS.items():
-        parts += [f"({c} = '{x}')::INTEGER::DOUBLE AS \"{c}_{x}\"" for x in found[1:]]
+        parts.append(head + f"'{c}', coalesce(CASE {c} {arms} END::DOUBLE, TRY_CAST({c} AS DOUBLE)) FROM used")
+    for c in cb.CATEGORICAL_FOR_LOGISTIC:
+        later = f"(SELECT DISTINCT {c} AS level FROM used WHERE {c} > (SELECT min({c}) FROM used))"
+        parts.append(head + f"concat('{c}_', level), ({c} = level)::INTEGER::DOUBLE FROM used JOIN {later} ON true")
     return (
-        f"WITH {CLEAN} SELECT respondent_id, ({cb.TARGET} = 'non-adherence')::INTEGER AS label, {', '.join(parts)} "
-        f"FROM clean WHERE n_prescriptions < {cb.MAX_PRESCRIPTIONS}"
+        f"WITH {CLEAN}, used AS (SELECT *, ({cb.TARGET} = 'non-adherence')::INTEGER AS label FROM clean "
+        f"WHERE n_prescriptions < {cb.MAX_PRESCRIPTIONS}) " + " UNION ALL ".join(parts)
     )
 
 
-@query("T5 T4 R2 C10 F3 P7 P9", _design_sql())
+@query("T5 T4 R2 C10 F3 P7 P9 D1", _design_sql())
 def design_matrix(spark, folder):
     rows = cut(ft.modelling_rows(plan.clean_survey(v.survey(spark, folder))))
-    design = ft.fit_design(rows, categorical=list(_LEVELS))
-    out = design.apply(rows)
-    return out.select(
-        "respondent_id", "label",
-        *[v.r6(F.col(f"`{c}`")).alias(c) if c in cb.NUMERIC_FEATURES else F.col(f"`{c}`") for c in design.columns],
-    )
+    design = ft.fit_design(rows)
+    out = design.apply(rows).withColumns({c: v.r6(c) for c in cb.NUMERIC_FEATURES})
+    return out.unpivot(["respondent_id", "label"], [named(c) for c in design.columns], "feature", "value")
 
 
 # --- imputation -------------------------------------------------------------
