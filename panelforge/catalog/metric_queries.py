@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.catalog import views as v
 from panelforge.catalog.registry import query
 from panelforge.operators import metrics as mt
+from panelforge.plans.training import MetricEvaluator
 
 _COUNTS = """counts AS (SELECT count(*) FILTER (y = 1 AND prediction = 1) AS tp, count(*) FILTER (y = 0 AND prediction = 1) AS fp,
   count(*) FILTER (y = 1 AND prediction = 0) AS fn, count(*) FILTER (y = 0 AND prediction = 0) AS tn FROM scored)"""
@@ -69,6 +70,19 @@ def single_scores(spark, folder):
     return _rounded(out, *out.columns)
 
 
+@query(
+    "D3 E4 E5",
+    f"WITH {v.SCORED}, {_COUNTS} SELECT 'f_beta_5' AS metric, {v.sql_r6('26 * tp / (26 * tp + 25 * fn + fp)')} AS value FROM counts UNION ALL "
+    f"SELECT 'f_beta_4', {v.sql_r6('17 * tp / (17 * tp + 16 * fn + fp)')} FROM counts UNION ALL SELECT 'recall', {v.sql_r6('tp / (tp + fn)')} FROM counts",
+)
+def evaluator_scores(spark, folder):
+    """User metrics as evaluators, the form that cross-validation takes."""
+    scored = v.scored_orders(spark, folder)
+    metrics = {"f_beta_5": mt.f_beta(5.0), "f_beta_4": mt.f_beta(4.0), "recall": mt.recall()}
+    rows = [(name, MetricEvaluator(metric, "y").evaluate(scored)) for name, metric in metrics.items()]
+    return spark.createDataFrame(rows, "metric string, value double").withColumn("value", v.r6("value"))
+
+
 @query(
     "E7",
     f"WITH {v.SCORED}, {_STEPS} SELECT threshold, {v.sql_r6('cum_pos / total_pos')} AS tpr, {v.sql_r6('cum_neg / total_neg')} AS fpr FROM steps "

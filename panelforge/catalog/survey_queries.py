@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F, types as T
 
 from panelforge.catalog import views as v
@@ -12,6 +14,7 @@ from panelforge.functions import text as tx
 from panelforge.operators import columns as cols
 from panelforge.operators import filters as fl
 from panelforge.operators.encode import LabelCodes
+from panelforge.operators.stages import TableFunction
 from panelforge.plans import survey as plan
 from panelforge.session import scratch_path
 from panelforge.sources.tables import load_keys, read_csv, read_survey, read_table, save_keys, write_csv, write_parquet
@@ -195,6 +198,18 @@ def ordinal_ranks(spark, folder):
     return clean.select("respondent_id", *[rc.ranked(c, cb.ORDINAL_RANKS[c]).alias(c) for c in cb.ORDINAL_FEATURES])
 
 
+@query(
+    "D1 C10",
+    f"WITH {CLEAN} SELECT respondent_id, income, educ, income * educ AS both FROM (SELECT respondent_id, {_rank_case('income')}, {_rank_case('educ')} FROM clean)",
+)
+def user_function_stage(spark, folder):
+    def ranks(df):
+        return df.select("respondent_id", *[rc.ranked(c, cb.ORDINAL_RANKS[c]).alias(c) for c in ("income", "educ")])
+
+    stages = [TableFunction(ranks), SQLTransformer(statement="SELECT *, income * educ AS both FROM __THIS__")]
+    return PipelineModel(stages).transform(plan.clean_survey(v.survey(spark, folder)))
+
+
 @query(
     "C9",
     "SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_totalprice) - 1)::DOUBLE AS price_code, "
