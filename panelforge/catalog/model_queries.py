@@ -28,8 +28,7 @@ def modelling(spark, folder):
 
 def design(spark, folder):
     """Design table of the logistic variant, without imputation."""
-    table, columns = ft.design_table(modelling(spark, folder))
-    return cut(table), columns
+    return ft.design_table(modelling(spark, folder))
 
 
 def _tuned(n):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelforge.functions import codebook as cb
 from panelforge.functions.keyed import keyed_uniform, named
 from panelforge.operators.balance import oversampled
-from panelforge.operators.encode import moments
+from panelforge.operators.encode import moments, sql_literal
 from panelforge.session import cut
 
 WEIGHT = "weight"
@@ -110,7 +110,9 @@ def feature_stages(df: DataFrame, columns: Sequence[str], scale: bool) -> list:
     names = slots(columns)
     if scale:
         fitted = moments(df, columns)
-        terms = [f"(`{c}` - {float(fitted[c][0])!r}D) / {float(fitted[c][1]) or 1.0!r}D" for c in columns]
+        terms = [
+            f"(`{c}` - {sql_literal(float(fitted[c][0]))}) / {sql_literal(float(fitted[c][1]) or 1.0)}" for c in columns
+        ]
     else:
         terms = [f"CAST(`{c}` AS DOUBLE)" for c in columns]
     picked = ", ".join(f"{t} AS {n}" for t, n in zip(terms, names))
@@ -130,7 +132,8 @@ class BalancedClassifier(Estimator):
 
     The fitted result is a plain pipeline of the scaling, the assembly and the
     classifier, so scoring never adds rows and the model is stored natively.
-    `classifier` is an estimator or a function of the balanced row count.
+    `classifier` is an estimator or a function of the balanced row count. The
+    training rows are read twice: pass a written or cached table.
     """
 
     keyCol = Param(Params._dummy(), "keyCol", "row key", TypeConverters.toString)
@@ -159,9 +162,8 @@ class BalancedClassifier(Estimator):
         """The fitted stages in front of the classifier, and the balanced training rows."""
         key, label = self.getOrDefault("keyCol"), self.getOrDefault("labelCol")
         columns = self.getOrDefault("inputCols")
-        rows = cut(dataset.select(key, label, *[named(c).cast("double").alias(c) for c in columns]))
-        stages = feature_stages(rows, columns, self.getOrDefault("scale"))
-        filled = cut(stages[0].transform(rows).select(key, label, *slots(columns)))
+        stages = feature_stages(dataset, columns, self.getOrDefault("scale"))
+        filled = cut(stages[0].transform(dataset).select(key, label, *slots(columns)))
         balanced = oversampled(
             filled, key, label, slots(columns), self.getOrDefault("neighbours"), self.getOrDefault("seed")
         )

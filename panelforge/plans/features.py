@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, functions as F
 
 from panelforge.functions import codebook as cb
 from panelforge.functions.keyed import named
 from panelforge.operators.columns import drop_columns, feature_group
-from panelforge.operators.encode import moments, require_levels
+from panelforge.operators.encode import moments, require_levels, sql_literal
 from panelforge.operators.filters import below
 from panelforge.operators.impute import impute_in_order
 from panelforge.operators.split import stratified_holdout
+from panelforge.session import cut
 
 KEY = "respondent_id"
 LABEL = "label"
@@ -49,24 +50,16 @@ def _gap_counts(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Design:
-    """Fitted preprocessing: a stage per feature kind and the output column names."""
+    """Fitted preprocessing and the names of the columns it makes.
+
+    The input features are replaced by the design columns; all others stay.
+    """
 
     model: PipelineModel
     columns: list[str]
 
     def apply(self, df: DataFrame, keep: Sequence[str] = (KEY, LABEL)) -> DataFrame:
-        out = self.model.transform(df)
-        return out.select(*[c for c in keep if c in out.columns], *[named(c) for c in self.columns])
-
-
-def _stage(expressions: dict) -> SQLTransformer:
-    """Column expressions as a stage that is stored as plain SQL text."""
-    picked = ", ".join(f"{sql} AS `{name}`" for name, sql in expressions.items())
-    return SQLTransformer(statement=f"SELECT *, {picked} FROM __THIS__")
-
-
-def _quoted(value) -> str:
-    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return self.model.transform(df).select(*keep, *[named(c) for c in self.columns])
 
 
 def fit_design(
@@ -79,43 +72,42 @@ def fit_design(
     """Scale the numeric, rank the ordinal and one-hot the categorical features.
 
     Fitting reads two aggregate rows: means with deviations, and category levels.
-    The fitted stages are SQL text, so a stored model needs no Python to run.
+    The fitted stage is SQL text, so a stored model needs no Python to run.
     """
     fitted = moments(rows, numeric)
     found = require_levels(rows, categorical)
-    expressions = {}
+    terms = {}
     for c in numeric:
         mean, deviation = fitted[c]
-        expressions[f"{c}__out"] = f"(`{c}` - {float(mean)!r}D) / {float(deviation) or 1.0!r}D"
+        terms[c] = f"(`{c}` - {sql_literal(float(mean))}) / {sql_literal(float(deviation) or 1.0)}"
     for c in ordinal:
-        arms = " ".join(f"WHEN {_quoted(k)} THEN {float(r)}D" for k, r in cb.ORDINAL_RANKS[c].items())
-        expressions[f"{c}__out"] = f"coalesce(CASE `{c}` {arms} END, try_cast(`{c}` AS DOUBLE))"
+        arms = " ".join(f"WHEN {sql_literal(k)} THEN {float(r)}D" for k, r in cb.ORDINAL_RANKS[c].items())
+        terms[c] = f"coalesce(CASE `{c}` {arms} END, try_cast(`{c}` AS DOUBLE))"
     for c in categorical:
         for level in sorted(found[c])[1:]:
-            expressions[f"{c}_{level}__out"] = f"CAST(`{c}` <=> {_quoted(level)} AS DOUBLE)"
+            terms[f"{c}_{level}"] = f"CAST(`{c}` <=> {sql_literal(level)} AS DOUBLE)"
     for c in passthrough:
-        expressions[f"{c}__out"] = f"CAST(`{c}` AS DOUBLE)"
-    names = [n.removesuffix("__out") for n in expressions]
-    outputs = ", ".join(f"`{n}__out` AS `{n}`" for n in names)
-    last = SQLTransformer(statement=f"SELECT `{KEY}`, `{LABEL}`, {outputs} FROM __THIS__")
-    return Design(Pipeline(stages=[_stage(expressions), last]).fit(rows), names)
+        terms[c] = f"CAST(`{c}` AS DOUBLE)"
+    used = ", ".join(f"`{c}`" for c in [*numeric, *ordinal, *categorical, *passthrough])
+    made = ", ".join(f"{sql} AS `{name}`" for name, sql in terms.items())
+    stage = SQLTransformer(statement=f"SELECT * EXCEPT ({used}), {made} FROM __THIS__")
+    return Design(PipelineModel([stage]), list(terms))
 
 
 def design_table(
     rows: DataFrame, fit_on: str = "train", drop: Sequence[str] = tuple(cb.DROPPED_FOR_LOGISTIC), **kinds
 ) -> tuple[DataFrame, list[str]]:
-    """(key, label, is_test, features...) and the feature names.
+    """(key, label, is_test, features...) as a written table, and the feature names.
 
     Preprocessing is fitted on the training rows. `fit_on='all'` uses every row,
     which lets test rows shape the scaling.
     """
     if fit_on not in ("train", "all"):
         raise ValueError(f"unknown fit_on {fit_on!r}")
-    split = stratified_holdout(drop_columns(rows, drop), KEY, LABEL, cb.TEST_SHARE)
+    split = cut(stratified_holdout(drop_columns(rows, drop), KEY, LABEL, cb.TEST_SHARE))
     source = split if fit_on == "all" else split.where(~F.col("is_test"))
     design = fit_design(source, **kinds)
-    marks = split.select(KEY, "is_test")
-    return design.apply(split).join(marks, KEY), design.columns
+    return cut(design.apply(split, (KEY, LABEL, "is_test"))), design.columns
 
 
 def feature_groups(columns: Sequence[str]) -> dict[str, list[str]]:

@@ -44,7 +44,6 @@ def fit_balanced(train: DataFrame, columns: Sequence[str], maker: Maker, scale:
 
 def train_and_score(table: DataFrame, columns: Sequence[str], maker: Maker) -> tuple[PipelineModel, DataFrame]:
     """One fit on the training rows and the predictions on the held-out rows."""
-    table = cut(table)
     model = fit_balanced(table.where(~F.col("is_test")), columns, maker)
     return model, md.predictions(model, table.where("is_test"), KEY, LABEL)
 
@@ -210,7 +209,6 @@ def chosen_c_table(spark: SparkSession, validator, c_values: Sequence[float]) ->
 
 def ablation(table: DataFrame, columns: Sequence[str], makers: Mapping[str, Maker | None]) -> DataFrame:
     """(features, model, roc_auc) on the held-out rows for three feature groups."""
-    table = cut(table)
     train, test = table.where(~F.col("is_test")), table.where("is_test")
     parts = []
     for group, names in feature_groups(columns).items():
