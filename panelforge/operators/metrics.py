@@ -201,9 +201,9 @@ def reference_lines(df: DataFrame, y: str = "y") -> DataFrame:
 
 def lift_over(df: DataFrame, model: str, score: str, baseline: str) -> DataFrame:
     """Percent difference of each model's score to the baseline model's."""
-    base = df.agg(F.max(F.when(F.col(model) == baseline, F.col(score))).alias("base")).withColumn("__one", F.lit(1))
-    others = df.where(~F.col(model).eqNullSafe(F.lit(baseline))).withColumn("__one", F.lit(1))
-    return others.join(F.broadcast(base), "__one").select(model, percent_over(F.col(score), F.col("base")).alias("lift_percent"))
+    base = df.where(F.col(model) == baseline).select(F.max(score)).scalar()
+    others = df.where(~F.col(model).eqNullSafe(F.lit(baseline)))
+    return others.select(model, percent_over(F.col(score), base).alias("lift_percent"))
 
 
 def fold_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

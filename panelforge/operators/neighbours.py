@@ -23,8 +23,11 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from panelforge.session import cut
 
-DONORS_PER_UNIT = 8192
-QUERIES_PER_UNIT = 8192
+DONORS_PER_UNIT = 4096
+QUERIES_PER_UNIT = 4096
+# Up to this many slices of donors, looking at all of them is cheaper than finding
+# out which ones to leave out.
+SLICES_WITHOUT_CELLS = 8
 MAX_CELLS = 16384
 CELL_DIMENSIONS = 6
 MATRIX_VALUES = 4_000_000
@@ -61,7 +64,7 @@ def _cell_cuts(donors: DataFrame, dims: Sequence[str], cells: int) -> dict[str,
     if not chosen:
         return {}
     per_dimension = max(2, int(round(cells ** (1 / len(chosen)))))
-    while per_dimension ** len(chosen) > MAX_CELLS:
+    while (per_dimension + 1) ** len(chosen) > MAX_CELLS:
         per_dimension -= 1
     shares = [i / per_dimension for i in range(1, per_dimension)]
     cuts = donors.approxQuantile(chosen, shares, 0.01)
@@ -168,27 +171,28 @@ def _cells_within(batches, cells, low, high, full, total, radius: bool):
         yield pd.concat(parts)
 
 
-def _match_units(queries: DataFrame, donors: DataFrame, donor_slices: DataFrame, k: int, total: int, schema) -> DataFrame:
+def _with_parts(queries: DataFrame, donors: DataFrame, donor_parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add to both sides into how many slices the cell's queries and donors are cut."""
+    sizes = queries.groupBy("cell").agg(
+        F.ceil(F.count(F.lit(1)) / QUERIES_PER_UNIT).cast("int").alias("query_parts")
+    ).join(donor_parts, "cell")
+    # At most one row per cell, so a crowded cell needs no shuffle by its number.
+    sizes = F.broadcast(sizes)
+    return queries.join(sizes, "cell"), donors.join(sizes, "cell")
+
+
+def _match_units(queries: DataFrame, donors: DataFrame, k: int, total: int, schema) -> DataFrame:
     """Match queries with the donors of their cell in units of bounded size.
 
-    `donor_slices` has (cell, donor_parts). Queries are copied to every donor
-    slice of a cell and donors to every query slice, never row by row.
+    Queries are copied to every donor slice of a cell and donors to every query
+    slice, never row by row.
     """
-    slices = queries.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / QUERIES_PER_UNIT).cast("int").alias("query_parts")
-    ).join(donor_slices, "cell")
-    # At most one row per cell, so a crowded cell needs no shuffle by its number.
-    slices = F.broadcast(slices)
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (
-        queries.join(slices, "cell")
-        .withColumn("query_part", F.pmod(F.xxhash64("query"), F.col("query_parts")).cast("int"))
-        .select("query", "vec", "cell", "query_part", copies("donor_parts").alias("donor_part"))
+    left = queries.withColumn("query_part", F.pmod(F.xxhash64("query"), F.col("query_parts")).cast("int")).select(
+        "query", "vec", "cell", "query_part", copies("donor_parts").alias("donor_part")
     )
-    right = (
-        donors.join(slices, "cell")
-        .withColumn("donor_part", F.pmod(F.xxhash64("donor"), F.col("donor_parts")).cast("int"))
-        .select("donor", "vec", "payload", "cell", "donor_part", copies("query_parts").alias("query_part"))
+    right = donors.withColumn("donor_part", F.pmod(F.xxhash64("donor"), F.col("donor_parts")).cast("int")).select(
+        "donor", "vec", "payload", "cell", "donor_part", copies("query_parts").alias("query_part")
     )
     unit = ["cell", "donor_part", "query_part"]
     names = schema.fieldNames()
@@ -196,6 +200,10 @@ def _match_units(queries: DataFrame, donors: DataFrame, donor_slices: DataFrame,
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _nearest(a, b, k, total, names)
 
+    # Units are small to move and costly to work on. With the number given, adaptive
+    # execution does not merge them into few tasks by their size.
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(tasks, *unit), right.repartition(tasks, *unit)
     return left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(match, schema)
 
 
@@ -230,7 +238,8 @@ def nearest_join(
         ]
     )
     count = donors.count()
-    cuts = _cell_cuts(donors, dims, min(MAX_CELLS, -(-count // DONORS_PER_UNIT)))
+    slices = -(-count // DONORS_PER_UNIT)
+    cuts = _cell_cuts(donors, dims, 1 if slices <= SLICES_WITHOUT_CELLS else min(MAX_CELLS, slices))
     q = queries.select(F.col(query).alias("query"), vec.alias("vec"))
     d = donors.select(
         F.col(key).alias("donor"),
@@ -238,18 +247,21 @@ def nearest_join(
         F.array(*[F.col(c).cast("double") for c in payload]).alias("payload"),
         _cell_of(cuts).alias("cell"),
     )
+    if not cuts:
+        # One cell: nothing to leave out, and its slices already spread the work.
+        parts = {
+            "cell": F.lit(0),
+            "donor_parts": F.lit(max(1, slices)),
+            "query_parts": F.lit(max(1, -(-queries.count() // QUERIES_PER_UNIT))),
+        }
+        return _keep_nearest(_match_units(q.withColumns(parts), d.withColumns(parts), k, total, schema), k)
+
     boxes = donors.withColumn("cell", _cell_of(cuts)).groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.min(c) for c in dims]).alias("low"),
         F.array(*[F.max(c) for c in dims]).alias("high"),
         F.array(*[(F.count(c) == F.count(F.lit(1))) for c in dims]).alias("full"),
     )
-    if not cuts:
-        # One cell: nothing to prune, and its donor slices already cover the work.
-        one = boxes.select("cell", F.ceil(F.col("n") / DONORS_PER_UNIT).cast("int").alias("donor_parts"))
-        found = _match_units(q.withColumn("cell", F.lit(0).cast("long")), d, one, k, total, schema)
-        return _keep_nearest(found, k)
-
     # At most MAX_CELLS rows of box summaries come to the driver.
     summary = boxes.orderBy("cell").collect()
     cells = np.array([r["cell"] for r in summary], dtype=np.int64)
@@ -257,7 +269,7 @@ def nearest_join(
     high = np.array([[np.nan if x is None else x for x in r["high"]] for r in summary], float)
     full = np.array([r["full"] for r in summary], bool)
     low, high = np.where(full, low, 0.0), np.where(full, high, 0.0)
-    slices = queries.sparkSession.createDataFrame(
+    parts = queries.sparkSession.createDataFrame(
         [(int(r["cell"]), -(-r["n"] // DONORS_PER_UNIT)) for r in summary], "cell long, donor_parts int"
     )
     placed = T.StructType([T.StructField("query", schema["query"].dataType),
@@ -265,11 +277,11 @@ def nearest_join(
                            T.StructField("cell", T.LongType())])
     choose = partial(_cells_within, cells=cells, low=low, high=high, full=full, total=total)
     home = cut(q.mapInPandas(partial(choose, radius=False), placed))
-    first = cut(_keep_nearest(_match_units(home, d, slices, k, total, schema), k))
+    first = cut(_keep_nearest(_match_units(*_with_parts(home, d, parts), k, total, schema), k))
     reach = first.groupBy("query").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("radius")
     )
     ranged = home.join(reach, "query", "left").fillna({"radius": float("inf")})
     others = cut(ranged.mapInPandas(partial(choose, radius=True), placed))
-    second = _match_units(others, d, slices, k, total, schema)
+    second = _match_units(*_with_parts(others, d, parts), k, total, schema)
     return _keep_nearest(first.select(*schema.fieldNames()).unionByName(second), k)
