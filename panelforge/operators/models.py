@@ -159,7 +159,10 @@ class BalancedClassifier(Estimator):
         return other
 
     def prepare(self, dataset: DataFrame) -> tuple[list, DataFrame]:
-        """The fitted stages in front of the classifier, and the balanced training rows."""
+        """The fitted stages in front of the classifier, and the balanced training rows.
+
+        A row is named by its key and `copy`, which is 0 for the original.
+        """
         key, label = self.getOrDefault("keyCol"), self.getOrDefault("labelCol")
         columns = self.getOrDefault("inputCols")
         stages = feature_stages(dataset, columns, self.getOrDefault("scale"))
@@ -168,7 +171,7 @@ class BalancedClassifier(Estimator):
             filled, key, label, slots(columns), self.getOrDefault("neighbours"), self.getOrDefault("seed")
         )
         # Even partitions for the many passes of a fit.
-        return stages, cut(stages[1].transform(balanced).select(key, label, "features").hint("rebalance"))
+        return stages, cut(stages[1].transform(balanced).select(key, "copy", label, "features").hint("rebalance"))
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         stages, train = self.prepare(dataset)

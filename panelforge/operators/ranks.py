@@ -18,12 +18,15 @@ from panelforge.session import cut
 PIECE_DIGITS = 3
 
 
-def hashed_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str = "position") -> DataFrame:
+def hashed_rank(
+    df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str = "position", total: str | None = None
+) -> DataFrame:
     """Number rows 1..n in the order of a keyed hash, within each `by` group.
 
     Pieces are hash prefixes, so they are even whatever the data looks like. The
     row numbers and the piece offsets are partitioned the same way, so joining
-    them moves only the small side. `by` values must not be null.
+    them moves only the small side. `total` names a column for the group size.
+    `by` values must not be null.
     """
     by = list(by)
     digest, piece, before = "__digest", "__piece", "__before"
@@ -32,18 +35,20 @@ def hashed_rank(df: DataFrame, key: str, seed, by: Sequence[str] = (), out: str
     )
     sizes = hashed.groupBy(*by, piece).agg(F.count(F.lit(1)).alias("__size"))
     # At most 4096 rows per group reach this window.
-    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy(piece).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    earlier = group.orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *by, piece, F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias(before)
+        *by,
+        piece,
+        F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias(before),
+        *([F.sum("__size").over(group).alias(total)] if total else []),
     )
     inside = Window.partitionBy(*by, piece).orderBy(digest, key)
     numbered = hashed.withColumn("__row", F.row_number().over(inside))
     return (
         numbered.join(offsets, [*by, piece])
         .withColumn(out, F.col("__row") + F.col(before))
-        .select(*[named(c) for c in df.columns], out)
+        .select(*[named(c) for c in df.columns], out, *([total] if total else []))
     )
 
 

@@ -10,11 +10,8 @@ from panelforge.operators.ranks import hashed_rank
 
 def stratified_holdout(df: DataFrame, key: str, label: str, share: float = 0.2, seed=42) -> DataFrame:
     """Add `is_test`: exactly ceil(share * n) rows of every class."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = hashed_rank(df, key, seed, by=[label], out="__position")
-    # `sizes` has one row per class.
-    marked = ranked.join(F.broadcast(sizes), label)
-    return marked.select(*[named(c) for c in df.columns], (F.col("__position") <= F.ceil(F.col("__n") * share)).alias("is_test"))
+    ranked = hashed_rank(df, key, seed, by=[label], out="__position", total="__n")
+    return ranked.select(*[named(c) for c in df.columns], (F.col("__position") <= F.ceil(F.col("__n") * share)).alias("is_test"))
 
 
 def threshold_holdout(df: DataFrame, key: str, share: float = 0.2, seed=42) -> DataFrame:

@@ -185,8 +185,13 @@ def choose_c(
     table: DataFrame, columns: Sequence[str], folds: int = cb.FOLDS, c_values: Sequence[float] = tuple(cb.CHOSEN_C_VALUES),
     evaluator: Evaluator | None = None, parallelism: int = 4,
 ):
-    """L1 logistic regression with C chosen by cross-validation. Returns the fitted validator."""
-    numbered = cut(stratified_folds(md.assembled(table, columns).select(KEY, LABEL, "features"), KEY, LABEL, folds, 12))
+    """L1 logistic regression on balanced rows, C chosen by cross-validation.
+
+    Returns the fitted validator, whose model has seen all the balanced rows.
+    """
+    _, ready = md.BalancedClassifier(keyCol=KEY, labelCol=LABEL, inputCols=list(columns)).prepare(table)
+    keyed = ready.withColumn("row", F.concat_ws("/", F.col(KEY).cast("string"), F.col("copy").cast("string")))
+    numbered = cut(stratified_folds(keyed.select("row", LABEL, "features"), "row", LABEL, folds, 12))
     rows = numbered.count() * (folds - 1) / folds
     estimator = md.tuned_logistic(LABEL, int(rows))
     grid = ParamGridBuilder().addGrid(
