@@ -15,11 +15,12 @@ from panelforge.functions import codebook as cb
 from panelforge.operators import explain as ex
 from panelforge.operators import metrics as mt
 from panelforge.operators import models as md
+from panelforge.operators.profile import per_column
 from panelforge.plans import features as ft
 from panelforge.plans import survey as plan
 from panelforge.plans import training as tr
 from panelforge.session import cut, scratch_path
-from panelforge.sources.tables import load_model, save_model
+from panelforge.sources.tables import load_model, read_table, save_model
 
 
 def modelling(spark, folder):
@@ -180,9 +181,6 @@ def attribution_summary(spark, folder):
 )
 def contribution_signs(spark, folder):
     """The coefficient report over weights that are correlations of the line items."""
-    from panelforge.operators.profile import per_column
-    from panelforge.sources.tables import read_table
-
     weights = per_column(
         read_table(spark, folder, "lineitem"),
         ["l_extendedprice", "l_discount", "l_tax", "l_quantity"],
@@ -207,6 +205,43 @@ def permutation_importance(spark, folder):
     return ex.permutation_importance(model.transform, table.where("is_test"), ft.KEY, ft.LABEL, columns)
 
 
+def _rule(score: str, fold: str) -> str:
+    return f"CASE WHEN {score} + {fold} * 0.02::DOUBLE >= 0.55 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+def _shuffled_rule_sql() -> str:
+    ctes = [v.SCORED, "d AS (SELECT id, y, score, fold::DOUBLE AS fold FROM scored)"]
+    for r in range(2):
+        side = lambda name: (
+            f"(SELECT *, row_number() OVER (ORDER BY {v.sql_hash('id', f'12:{r}:{name}')}, id) AS position FROM d)"
+        )
+        ctes.append(
+            f"s{r} AS (SELECT l.y, l.score, l.fold, o.score AS other_score, o.fold AS other_fold "
+            f"FROM {side('left')} l JOIN {side('right')} o USING (position))"
+        )
+        recall = lambda score, fold: f"avg({_rule(score, fold)}) FILTER (y = 1)"
+        ctes.append(
+            f"l{r} AS (SELECT {recall('score', 'fold')} - {recall('other_score', 'fold')} AS score, "
+            f"{recall('score', 'fold')} - {recall('score', 'other_fold')} AS fold FROM s{r})"
+        )
+    losses = "SELECT * FROM l0 UNION ALL SELECT * FROM l1"
+    return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {v.sql_r6(f'avg({c})')} AS mean, {v.sql_r6(f'stddev_pop({c})', 4)} AS deviation FROM ({losses})"
+        for c in ("score", "fold")
+    )
+
+
+@query("X2 E5", _shuffled_rule_sql())
+def permutation_importance_of_rule(spark, folder):
+    """The same job over a fixed rule instead of a model, which SQL can repeat."""
+    scored = v.scored_orders(spark, folder).select("id", "y", "score", F.col("fold").cast("double").alias("fold"))
+    rule = lambda df: df.withColumn(
+        "prediction", F.when(F.col("score") + F.col("fold") * 0.02 >= 0.55, 1.0).otherwise(0.0)
+    )
+    out = ex.permutation_importance(rule, scored, "id", "y", ["score", "fold"])
+    return out.select("feature", v.r6("mean").alias("mean"), v.r6("deviation", 4).alias("deviation"))
+
+
 @query("X5 M3")
 def impurity_importance(spark, folder):
     table, columns = design(spark, folder)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelforge.functions.recode import percent_over
 from panelforge.operators.profile import cross_table
@@ -213,8 +213,6 @@ def fold_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 def pooled_counts(df: DataFrame, by: Sequence[str], fold: str = "fold") -> DataFrame:
     """Outcome counts added up over folds 1..i; the last fold holds the total."""
-    from pyspark.sql import Window
-
     so_far = Window.partitionBy(*by).orderBy(fold).rowsBetween(Window.unboundedPreceding, 0)
     return outcome_counts(df, [*by, fold]).select(
         *by, fold, *[F.sum(c).over(so_far).alias(c) for c in ("tp", "fp", "fn", "tn")]
