@@ -1 +1,8 @@
-"""Survey and review tables to evaluated, explained classifiers, on Spark."""
+"""Survey and review tables to evaluated, explainable classifiers, as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need not have the package installed: functions travel with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
