@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,38 @@ def by_slices(work: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 256)
     return run
 
 
+def key_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key, one key at a time, of batches that are sorted by integer keys."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for key in keys:
+            values = batch.column(key).to_numpy(zero_copy_only=False)
+            change |= values[1:] != values[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(begin, end - begin)
+        held = batch.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+def binaries(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes as one binary value."""
+    rows = np.ascontiguousarray(rows)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.itemsize * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
+
+
+def rows_of(column: pa.Array, kind: type) -> np.ndarray:
+    """The matrix of a column of equally long binary values."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
 class Once:
     """A value made on its first use in a task; only its recipe travels to executors."""
 
