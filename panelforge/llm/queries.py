@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import byte_bpe, embedding_dedup, langid, pii, quality, sql, token_counts, toxicity, url_filter
+from panelforge.llm import byte_bpe, embedding_dedup, langid, packing, pii, quality, sql, token_counts, toxicity, url_filter
 from panelforge.llm.frames import read
 
 
@@ -41,6 +41,10 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut_documents(read(spark, sf_dir, "documents")))
+
+
 def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -58,6 +62,7 @@ QUERIES = {
         op4_byte_bpe,
         op5_toxicity,
         op7_url_rules,
+        op8_best_fit_packing,
         op9_embedding_duplicates,
         op10_language,
     )
