@@ -31,7 +31,7 @@ THRESHOLD = 0.3
 class Ftrl:
     """Parameters; `sample` bounds the labelled rows of each class that are learned from."""
 
-    bits: int = 20
+    bits: int = 18
     skips: tuple[int, ...] = (1, 2)
     stems: tuple[int, ...] = (4, 5, 6, 8)
     alpha: float = 0.5
