@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import byte_bpe, embedding_dedup, langid, packing, pii, quality, sql, token_counts, toxicity, url_filter
+from panelforge.llm import byte_bpe, embedding_dedup, langid, ngram_join, packing, pii, quality, sql, token_counts, toxicity, url_filter
 from panelforge.llm.frames import read
 
 
@@ -37,6 +37,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
@@ -61,6 +65,7 @@ QUERIES = {
         op3_token_counts,
         op4_byte_bpe,
         op5_toxicity,
+        op6_ngram_jaccard,
         op7_url_rules,
         op8_best_fit_packing,
         op9_embedding_duplicates,

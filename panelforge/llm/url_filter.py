@@ -63,6 +63,12 @@ def bloom_blocks(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
     return filled.groupBy("block").agg(F.expr("bit_or(bits)").alias("bits")), blocks
 
 
+def bloom_hits(rows: DataFrame, filled: DataFrame, blocks: int) -> DataFrame:
+    """The rows whose `key` the filter may hold."""
+    met = rows.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(filled), "block")
+    return met.filter(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).drop("block", "bits")
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row.
 
@@ -96,13 +102,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
         .select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
         .withColumn("key", _key(F.col("suffix"), F.col("prefix")))
     )
-    possible = (
-        offered.withColumn("block", _block(F.col("key"), blocks))
-        .join(F.broadcast(filled), "block")
-        .filter(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
-        .select("host", "path", "key", "suffix", "prefix")
-    )
-    exact = possible.join(listed, "key").filter((F.col("suffix") == F.col("rule_host")) & (F.col("prefix") == F.col("rule_path")))
+    exact = bloom_hits(offered, filled, blocks).join(listed, "key").filter((F.col("suffix") == F.col("rule_host")) & (F.col("prefix") == F.col("rule_path")))
     order = F.struct(F.length("key"), F.length("rule_host"))
     best = exact.groupBy("host", "path").agg(F.max_by(F.struct(F.col("key").alias("rule"), "verdict"), order).alias("best"))
     return rows.join(best, ["host", "path"], "left").select(
