@@ -143,21 +143,21 @@ def fit(docs: DataFrame, p: Kernel = Kernel()) -> Model:
     return Model(languages, landmarks, np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32))
 
 
-def predict(df: DataFrame, model: Model, p: Kernel = Kernel(), keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
-    """The columns `keep`, `lang_pred` and `score` of every row.
+def predict(df: DataFrame, model: Model, p: Kernel = Kernel(), keep: tuple[str, ...] = (), text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep`, the predicted language and its score (`names`) of every row.
 
     The score is the winner's regression value, moved from -1..1 to 0..1. Texts that are
     null or have no letter are `und` with score 0, and so are all without a learned
     language. Of equal values the first language by name wins.
     """
     kept = [f for f in df.schema.fields if f.name in keep]
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*kept, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     sent = df.sparkSession.sparkContext.broadcast((model.languages, np.packbits(model.landmarks.astype(np.uint8), axis=1), model.weights))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, packed, weights = sent.value
         landmarks = np.unpackbits(packed, axis=1).astype(np.float32) if languages else None
-        names = np.array([*languages, UNKNOWN], object)
+        labels = np.array([*languages, UNKNOWN], object)
         for whole in batches:
             for at in range(0, whole.num_rows, p.rows):
                 batch = whole.slice(at, p.rows)
@@ -168,7 +168,7 @@ def predict(df: DataFrame, model: Model, p: Kernel = Kernel(), keep: tuple[str,
                     margins = kernel(sets, landmarks) @ weights[:-1] + weights[-1]
                     best[known] = margins.argmax(axis=1)[known]
                     score[known] = np.clip((margins.max(axis=1)[known].astype(float) + 1) / 2, 0, 1)
-                columns = [*(batch.column(f.name) for f in kept), pa.array(names[best], pa.string()), pa.array(score)]
+                columns = [*(batch.column(f.name) for f in kept), pa.array(labels[best], pa.string()), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
     return df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text).cast("string").alias("__text")).mapInArrow(work, schema)

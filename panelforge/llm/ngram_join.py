@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from panelforge.llm.components import connected_components
 from panelforge.llm.frames import key_runs, texts
-from panelforge.llm.url_filter import bloom_blocks, bloom_hits
+from panelforge.llm.url_filter import bloom_blocks, bloom_hits, bloom_misses
 from panelforge.llm.words import shingle_sets, word_hashes
 from panelforge.session import scratch_path
 
@@ -316,3 +316,24 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(result, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def first_of_groups(df: DataFrame, key: str = "doc_id", text: str = "text", p: JaccardJoin = JaccardJoin()) -> DataFrame:
+    """The rows of `df` that are the first of their component; its columns stay as they are.
+
+    Rows without an id stay, and of rows that repeat an id one stays. A Bloom filter of the
+    ids that go keeps the other rows, with their texts, out of the exact join.
+    """
+    found = _kept(jaccard_components(df, key, text, p).filter(F.col("doc_id").isNotNull()).select("doc_id", "component_id"), "components")
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    again = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    suspects = _kept(gone.unionByName(again).distinct(), "suspects")
+    n = suspects.count()
+    if not n:
+        return df
+    filled, blocks = bloom_blocks(suspects.select(F.col("doc_id").cast("string").alias("key")), n)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.coalesce(F.col(key).cast("long").cast("string"), F.lit("")).alias("key"))
+    clear = bloom_misses(rows, filled, blocks)
+    checked = bloom_hits(rows, filled, blocks).withColumn("doc_id", F.col("key").cast("long"))
+    checked = checked.join(gone.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return clear.select("row.*").unionByName(checked.select("row.*"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from panelforge.llm import byte_bpe, embedding_dedup, langid, ngram_join, packing, pii, quality, sql, token_counts, toxicity, url_filter
 from panelforge.llm.frames import read
 
@@ -73,6 +74,8 @@ QUERIES = {
     )
 }
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
 SQL: dict[str, str] = {
     "op2_quality_rules": sql.quality_rules(),
     "op7_url_rules": sql.url_rules(),

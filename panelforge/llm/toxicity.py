@@ -134,10 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", p: Ftrl = Ftrl
     return at, w[at]
 
 
-def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Ftrl = Ftrl(), keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
-    """`keep` columns and `score` (0 to 1) of every row; null and empty texts score the bias."""
+def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Ftrl = Ftrl(), keep: tuple[str, ...] = (), text: str = "text", name: str = "score") -> DataFrame:
+    """`keep` columns and the score `name` (0 to 1) of every row; null and empty texts score the bias."""
     kept = [f for f in df.schema.fields if f.name in keep]
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*kept, T.StructField(name, T.DoubleType())])
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

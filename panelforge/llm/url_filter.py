@@ -69,6 +69,13 @@ def bloom_hits(rows: DataFrame, filled: DataFrame, blocks: int) -> DataFrame:
     return met.filter(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).drop("block", "bits")
 
 
+def bloom_misses(rows: DataFrame, filled: DataFrame, blocks: int) -> DataFrame:
+    """The rows whose `key` the filter cannot hold."""
+    met = rows.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(filled), "block", "left")
+    held = F.coalesce(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")), F.lit(False))
+    return met.filter(~held).drop("block", "bits")
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row.
 
