@@ -165,11 +165,11 @@ def _corr(c: str) -> str:
         f"SELECT '{c}' AS \"Variable\", {v.sql_r6(f'avg(abs(shap_{c}))', 4)} AS \"SHAP_abs\", {v.sql_r6(_corr(c), 4)} AS \"Corr\" FROM s"
         for c in _ATTRIBUTED
     )
-    + ") ORDER BY \"SHAP_abs\" DESC LIMIT 3",
+    + ") ORDER BY \"SHAP_abs\" DESC LIMIT 15",
 )
 def attribution_summary(spark, folder):
     out = ex.linear_attributions(_numbers(spark, folder), _ATTRIBUTED)
-    table = ex.attribution_summary(out, list(_ATTRIBUTED), 3)
+    table = ex.attribution_summary(out, list(_ATTRIBUTED), 15)
     return table.select("Variable", v.r6("SHAP_abs", 4).alias("SHAP_abs"), v.r6("Corr", 4).alias("Corr"), "Sign")
 
 
@@ -200,7 +200,7 @@ def coefficient_table(spark, folder):
 @query("X2 M1")
 def permutation_importance(spark, folder):
     table, columns = design(spark, folder)
-    maker = lambda n: md.logistic(ft.LABEL, n * 0.5, cb.LOGISTIC_FLAT_C, l1=True, max_iter=100)
+    maker = lambda n: md.logistic(ft.LABEL, n * 0.5, cb.LOGISTIC_FLAT_C, l1=True)
     model = tr.fit_balanced(table.where("not is_test"), columns, maker, scale=False)
     return ex.permutation_importance(model.transform, table.where("is_test"), ft.KEY, ft.LABEL, columns)
 

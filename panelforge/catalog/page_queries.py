@@ -37,11 +37,11 @@ _NUMBER = "coalesce(TRY_CAST(nullif(regexp_extract(url, 'page=(\\d+)', 1), '') A
 
 @query(
     "H2 H3 H8",
-    f"SELECT page_id, {_NUMBER} AS n_pages, unnest(range(1, {_NUMBER}::BIGINT + 1))::INTEGER AS page FROM pages",
+    f"SELECT page_id, {_NUMBER} AS n_pages, unnest(range(1, {_NUMBER}::BIGINT + 1))::INTEGER AS page FROM pages WHERE {_NUMBER} <= {cb.MOST_PAGES}",
 )
 def page_numbers(spark, folder):
     counted = read_table(spark, folder, "pages").select("page_id", number_after("url", r"page=(\d+)").alias("n_pages"))
-    return counted.withColumn("page", F.explode(F.sequence(F.lit(1), F.col("n_pages"))))
+    return pg.numbered(counted)
 
 
 def _element(tag: str) -> str:
@@ -76,12 +76,13 @@ def review_page_addresses(spark, folder):
 
 @query(
     "H1 H3 C12",
-    f"WITH {v._REVIEW_ROWS}, k AS (SELECT DISTINCT lower(c_mktsegment) AS word FROM review_rows) "
-    "SELECT word, unnest(range(1, 74))::INTEGER AS page, printf('https://reviews.example/listing?cat=1&page=%s', unnest(range(1, 74))::VARCHAR) AS url FROM k",
+    f"WITH {v._REVIEW_ROWS}, k AS (SELECT count(DISTINCT lower(c_mktsegment))::INTEGER AS n_pages FROM review_rows) "
+    "SELECT n_pages, unnest(range(1, n_pages::BIGINT + 1))::INTEGER AS page, printf('https://reviews.example/listing?cat=1&page=%s', unnest(range(1, n_pages::BIGINT + 1))::VARCHAR) AS url FROM k",
 )
 def listing_addresses(spark, folder):
-    words = pg.key_words(v.review_pages(spark, folder)).select("word").distinct()
-    return pg.listing_addresses(words, "https://reviews.example/listing?cat=1&page=%s", 73)
+    """One listing with a page for every key word."""
+    words = pg.key_words(v.review_pages(spark, folder)).agg(F.count_distinct("word").cast("int").alias("n_pages"))
+    return pg.listing_addresses(words, "https://reviews.example/listing?cat=1&page=%s")
 
 
 _RAW = ", ".join(cb.REVIEW_RAW)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import html as markup
 import re
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from panelforge.functions.keyed import as_column
 
@@ -25,12 +27,22 @@ def address(template: str, *parts) -> Column:
     return F.format_string(template, *[as_column(p).cast("string") for p in parts])
 
 
+@F.pandas_udf(T.StringType())
+def _all_references(texts: pd.Series) -> pd.Series:
+    return texts.map(markup.unescape, na_action="ignore")
+
+
 def unescaped(column) -> Column:
-    """Undo the character references that attribute values carry."""
-    text = as_column(column)
+    """Undo character references.
+
+    The five that markup itself needs are built-in replacements; only texts with any
+    other reference go through Python's table of them.
+    """
+    text = plain = as_column(column)
     for reference, character in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return text
+        plain = F.replace(plain, F.lit(reference), F.lit(character))
+    other = text.rlike("&(?!(quot|#39|lt|gt|amp);)[#A-Za-z]")
+    return F.coalesce(_all_references(F.when(other, text)), plain)
 
 
 def without_tags(column) -> Column:

@@ -11,6 +11,8 @@ from panelforge.operators.ranks import in_order
 
 # Columns with at most this many values are encoded by an in-plan array.
 MAX_LEVELS = 1000
+# Types whose values have a literal; columns of other types always get an index table.
+LITERAL_TYPES = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "double")
 
 
 def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
@@ -22,7 +24,8 @@ def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     if not columns:
         return {}
     counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    small = [c for c in columns if counts[c] <= MAX_LEVELS]
+    plain = {f.name for f in df.schema if f.dataType.simpleString() in LITERAL_TYPES}
+    small = [c for c in columns if counts[c] <= MAX_LEVELS and c in plain]
     if not small:
         return {}
     row = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in small]).first()

@@ -10,10 +10,11 @@ from panelforge.functions.keyed import keyed_hash
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n) for several columns in one pass, missing values left out."""
+    """(column, value, n) for several columns in one pass, most frequent first, without missing values."""
     text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     long = text.unpivot([], list(columns), "column", "value")
-    return long.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = long.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy("column", F.desc("n"), "value")
 
 
 def distinct_with_null(column: str) -> Column:

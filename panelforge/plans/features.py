@@ -33,12 +33,22 @@ def modelling_rows(clean: DataFrame, max_prescriptions: float | None = cb.MAX_PR
     return with_label(kept)
 
 
-def imputed_rows(rows: DataFrame, mask: str = "column") -> DataFrame:
-    """The six gaps filled in order. The label takes no part in the distances."""
+def imputed_rows(rows: DataFrame, mask: str = "column", fit_on: str = "train") -> DataFrame:
+    """The six gaps filled in order. The label takes no part in the distances.
+
+    Answers come from the training rows of `design_table`'s split, which depends on keys
+    and labels only; with `fit_on='all'` held-out rows give answers too. A column without
+    a gap is left as it is.
+    """
+    if fit_on not in ("train", "all"):
+        raise ValueError(f"unknown fit_on {fit_on!r}")
     features = [c for c in rows.columns if c not in (KEY, LABEL)]
     present = {r["column"] for r in _gap_counts(rows).collect() if r["n"]}
     steps = [s for s in cb.IMPUTE_STEPS if s[0] in present]
-    return impute_in_order(rows, KEY, steps, features, mask=mask)
+    if fit_on == "all":
+        return impute_in_order(rows, KEY, steps, features, mask=mask)
+    split = stratified_holdout(rows, KEY, LABEL, cb.TEST_SHARE).withColumn("__train", ~F.col("is_test")).drop("is_test")
+    return impute_in_order(split, KEY, steps, features, mask=mask, donors="__train").drop("__train")
 
 
 def _gap_counts(rows: DataFrame) -> DataFrame:
@@ -89,7 +99,7 @@ def fit_design(
     for c in passthrough:
         terms[c] = f"CAST(`{c}` AS DOUBLE)"
     used = ", ".join(f"`{c}`" for c in [*numeric, *ordinal, *categorical, *passthrough])
-    made = ", ".join(f"{sql} AS `{name}`" for name, sql in terms.items())
+    made = ", ".join(f"{sql} AS `{name.replace('`', '``')}`" for name, sql in terms.items())
     stage = SQLTransformer(statement=f"SELECT * EXCEPT ({used}), {made} FROM __THIS__")
     return Design(PipelineModel([stage]), list(terms))
 

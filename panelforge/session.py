@@ -23,6 +23,7 @@ def build_session(app: str = "panelforge", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for name, value in settings.items():

@@ -6,6 +6,9 @@ only, over the whole text of a page, so it runs the same in batch and streaming.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelforge.functions import codebook as cb
@@ -41,17 +44,33 @@ def page_count(html="html") -> Column:
     return number_after(html, pattern)
 
 
-def page_addresses(first_pages: DataFrame, key: str, template: str) -> DataFrame:
-    """One row per (key, page) with its address, from the first page of each key."""
-    counted = first_pages.select(key, page_count().alias("n_pages"))
-    numbered = counted.withColumn("page", F.explode(F.sequence(F.lit(1), F.col("n_pages"))))
-    return numbered.withColumn("url", address(template, key, "page"))
+def plausible(count="n_pages") -> Column:
+    """Page counts that are followed; a page may claim any number."""
+    return F.col(count).between(1, cb.MOST_PAGES)
+
+
+def numbered(counted: DataFrame, count: str = "n_pages") -> DataFrame:
+    """One row per page 1..count; none for counts of 0 or beyond what is plausible."""
+    return counted.where(plausible(count)).withColumn("page", F.explode(F.sequence(F.lit(1), F.col(count))))
+
+
+def page_addresses(first_pages: DataFrame, key: str, template: str, names: str | None = None) -> DataFrame:
+    """One row per (key, page) with its address, from the first page of each key.
+
+    `names` is the column that the address holds, the key if not given.
+    """
+    counted = first_pages.select(*dict.fromkeys([key, names or key]), page_count().alias("n_pages"))
+    return numbered(counted).withColumn("url", address(template, names or key, "page"))
+
+
+def count_rejects(first_pages: DataFrame, key: str) -> DataFrame:
+    """First pages whose page count is not followed."""
+    return first_pages.select(key, page_count().alias("n_pages")).where(~plausible())
 
 
-def listing_addresses(pages: DataFrame, template: str, last_page: int) -> DataFrame:
-    """Addresses 1..last_page of a listing for every key in `pages`."""
-    numbered = pages.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(last_page))))
-    return numbered.withColumn("url", address(template, "page"))
+def listing_addresses(listings: DataFrame, template: str) -> DataFrame:
+    """One row per page of a listing, from rows with its `n_pages`."""
+    return numbered(listings).withColumn("url", address(template, "page"))
 
 
 def profile_blocks(pages: DataFrame) -> DataFrame:
@@ -75,10 +94,32 @@ def latest_evaluation(block="block") -> Column:
     return F.regexp_replace(word_at(block, 1, "<h3"), r"(?s)^.*?</h3>", "")
 
 
+def _whole_element(texts: pd.Series) -> pd.Series:
+    """Each text up to the end tag that closes the element it starts in."""
+
+    def cut(text: str) -> str:
+        depth = 1
+        for tag in re.finditer(r"<(/?)div\b[^>]*>", text):
+            depth += -1 if tag[1] else 1
+            if not depth:
+                return text[: tag.start()]
+        return text
+
+    return texts.map(cut, na_action="ignore")
+
+
+_nested = F.pandas_udf(_whole_element, T.StringType())
+
+
 def headed_field(section, label: str) -> Column:
-    """Third text line of the element after a heading; null when there is none."""
-    found = F.regexp_extract(section, rf"(?s)<span[^>]*>{label}</span>\s*</div>\s*<div[^>]*>(.*?)</div>", 1)
-    return word_at(without_tags(found), 2, "\n")
+    """Third text line of the element after a heading; null when there is none.
+
+    Only an element with another one of its kind inside is read by Python.
+    """
+    opening = rf"(?s)<span[^>]*>{label}</span>\s*</div>\s*<div[^>]*>"
+    found = F.regexp_extract(section, rf"{opening}(.*?)</div>", 1)
+    whole = _nested(F.when(found.rlike(r"<div\b"), F.regexp_extract(section, rf"{opening}(.*)", 1)))
+    return word_at(without_tags(F.coalesce(whole, found)), 2, "\n")
 
 
 def labelled_paragraph(block, label: str) -> Column:

@@ -25,7 +25,7 @@ def read_survey(spark: SparkSession, path: str, file_format: str = "parquet") ->
     its header, because a declared CSV schema goes by position.
     """
     if file_format == "csv":
-        raw = lower_header(spark.read.option("header", True).option("nullValue", "NA").csv(path))
+        raw = lower_header(spark.read.options(**QUOTING).option("header", True).option("nullValue", "NA").csv(path))
         return raw.select(
             *[F.nullif(F.col(f.name), F.lit("")).cast(f.dataType).alias(f.name) for f in survey_schema()]
         )
@@ -33,17 +33,25 @@ def read_survey(spark: SparkSession, path: str, file_format: str = "parquet") ->
     return lower_header(spark.read.format(file_format).load(path)).select(*wanted)
 
 
+#: A quoted field may hold separators, line breaks, backslashes and doubled quotes.
+QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a header, where `NA` and empty fields are both missing."""
-    df = spark.read.schema(schema).option("header", True).option("nullValue", "NA").option(
+    """CSV with a header, where `NA` and empty fields are both missing.
+
+    A file with line breaks inside texts cannot be split, so its size bounds a task's
+    input; `write_csv` writes one file for each partition.
+    """
+    df = spark.read.schema(schema).options(**QUOTING).option("header", True).option("nullValue", "NA").option(
         "enforceSchema", False
-    ).csv(path)
+    ).csv(path, multiLine=True)
     texts = [f.name for f in schema if isinstance(f.dataType, T.StringType)]
     return df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in texts})
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**QUOTING).option("header", True).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

@@ -5,13 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from panelforge.sources.pages import PAGE_SCHEMA
 
 
-def page_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
-    return spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", pattern).parquet(folder)
+def page_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files: int | None = None) -> DataFrame:
+    """Pages as they arrive; `files` bounds the files of one micro-batch."""
+    stream = spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", pattern)
+    return (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(folder)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads it from."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def append_parsed(
@@ -20,24 +27,23 @@ def append_parsed(
     """Parse what is new, append it to `out`, and return the finished query.
 
     Each micro-batch owns one folder, overwritten when the batch is repeated after
-    a failure, so nothing is stored twice. A page that an earlier batch has stored
-    is left out by an anti-join on its key.
+    a failure, so nothing is stored twice. The keys of all pages seen, also of those that
+    gave no record, are a table of their own beside the checkpoint, so a later batch reads
+    keys only. Of versions of a page in one batch the least by its columns is parsed.
     """
     spark = stream.sparkSession
-
-    def stored_before(batch: int) -> DataFrame | None:
-        try:
-            stored = spark.read.option("basePath", out).parquet(out)
-        except AnalysisException:
-            return None
-        return stored.where(F.col("batch") < batch).select(key).distinct()
+    seen = f"{checkpoint.rstrip('/')}-keys"
 
     def write(pages: DataFrame, batch: int) -> None:
-        fresh = pages.dropDuplicates([key])
-        before = stored_before(batch)
-        if before is not None:
+        others = [c for c in pages.columns if c != key]
+        fresh = pages.groupBy(key).agg(F.min(F.struct(*others)).alias("page")).select(key, "page.*")
+        if path_exists(spark, seen):
+            before = spark.read.option("basePath", seen).parquet(seen).where(F.col("batch") < batch).select(key)
             fresh = fresh.join(before, key, "left_anti")
+        fresh = fresh.persist()
         parse(fresh).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        fresh.select(key).write.mode("overwrite").parquet(f"{seen}/batch={batch}")
+        fresh.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -50,5 +56,5 @@ def append_parsed(
 
 
 def progress(query) -> list[tuple[int, int]]:
-    """(batch, rows read) of a finished query."""
+    """(batch, rows read) of the last batches of a finished query; Spark keeps 100."""
     return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]

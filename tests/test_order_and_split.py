@@ -95,3 +95,35 @@ def test_sample_is_stable(spark):
     df = spark.range(1000)
     first = {r["id"] for r in pf.keyed_sample(df, "id", 10, 1).collect()}
     assert first == {r["id"] for r in pf.keyed_sample(df.repartition(7), "id", 10, 1).collect()} and len(first) == 10
+
+
+def test_label_codes_of_dates_decimals_and_many_levels(spark):
+    df = spark.range(6000).selectExpr(
+        "id", "date_add(date'2000-01-01', cast(id % 900 as int)) as day", "cast(id % 7 as decimal(9,2)) / 4 as price", "concat('v', id % 5000) as name"
+    )
+    codes = en.LabelCodes(df, ["day", "price", "name"])
+    coded = codes.encode(df, "_code")
+    for c in ("day", "price", "name"):
+        found = coded.select(c, f"{c}_code").distinct().collect()
+        order = sorted(r[c] for r in found)
+        assert {r[c]: r[f"{c}_code"] for r in found} == {v: float(i) for i, v in enumerate(order)}
+        assert codes.code_of(c, order[3]) == 3.0
+        back = codes.decode(coded, c, f"{c}_code", "back")
+        assert back.where(f"back <> {c} or back is null").count() == 0
+
+
+def test_value_counts_come_most_frequent_first(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "s string")
+    assert [(r["value"], r["n"]) for r in pf.value_counts(df, ["s"]).collect()] == [("b", 2), ("a", 1), ("c", 1)]
+
+
+def test_held_out_rows_give_no_answers(spark):
+    from panelforge.operators.impute import impute_in_order
+
+    rows = [(1, 1.0, "?", True), (2, 1.0, "x", False), (3, 1.0, "x", False), (4, 9.0, "y", True), (5, 8.0, "y", True)]
+    df = spark.createDataFrame(rows, "id long, a double, s string, gives boolean")
+    steps = [("s", "?")]
+    every = impute_in_order(df, "id", steps, ["a", "s"], k=2)
+    some = impute_in_order(df, "id", steps, ["a", "s"], k=2, donors="gives")
+    assert every.where("id = 1").first()["s"] == "x" and some.where("id = 1").first()["s"] == "y"
+    assert some.columns == df.columns

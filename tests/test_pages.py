@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import codebook as cb
+from panelforge.functions.text import unescaped
 from panelforge.sources import pages as pg
 from panelforge.sources.tables import read_csv, write_csv
 from panelforge.streaming.pages import append_parsed, page_stream, progress
@@ -89,6 +90,55 @@ def test_page_counts(spark):
     assert got.where("drug = 'b'").first()["url"] == "https://reviews.example/b/1"
 
 
+def test_implausible_page_counts_are_rejected(spark):
+    link = '<a href="#">{}</a> <a class="' + cb.NEXT_PAGE_CLASS + '">Next</a>'
+    df = spark.createDataFrame([(str(n), "x", link.format(n)) for n in (0, 1, 3, 2000000000)], "id string, drug string, html string")
+    got = pg.page_addresses(df, "id", "https://reviews.example/%s/%s", "drug")
+    assert sorted((r["id"], r["page"]) for r in got.collect()) == [("1", 1), ("3", 1), ("3", 2), ("3", 3)]
+    assert {r["url"] for r in got.where("page = 3").collect()} == {"https://reviews.example/x/3"}
+    assert sorted(r["id"] for r in pg.count_rejects(df, "id").collect()) == ["0", "2000000000"]
+
+
+def test_a_listing_has_each_address_once(spark):
+    got = pg.listing_addresses(spark.createDataFrame([(4,)], "n_pages int"), "https://reviews.example/l/%s")
+    assert [r["url"][-1] for r in got.collect()] == list("1234")
+
+
+def test_nested_markup_in_a_field(spark):
+    page = block(PROFILE).replace("Mild\n</div>", "<div><div>Mild</div> or <b>less</b></div>\n</div>")
+    df = spark.createDataFrame([(1, "https://reviews.example/browse/x?b", page)], pg.PAGE_SCHEMA)
+    row = pg.parse_reviews(df).first()
+    assert (row["side_effects"], row["adherence"]) == ("Mild or less", "Usually")
+
+
+def test_all_character_references(spark):
+    texts = ["a&nbsp;b", "&#x27;&apos;&quot;&#39;", "&eacute;&Eacute;", "&lt;p&gt; &amp; &amp;lt; &amp;eacute;", "plain & simple", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unescaped("t").alias("u"))
+    assert all(r["u"] == (r["t"] and entities.unescape(r["t"])) for r in df.collect())
+
+
+def test_csv_holds_any_text(spark, tmp_path):
+    texts = ['a "quoted" word', "two\nlines", "back\\slash", 'ends with \\"', "a,b;c", "  spaces  ", "'", '"', "é\n\n,\"\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    write_csv(df, str(tmp_path / "t"))
+    assert {r["i"]: r["s"] for r in read_csv(spark, str(tmp_path / "t"), df.schema).collect()} == dict(enumerate(texts))
+
+
+def test_pages_without_records_are_remembered(spark, tmp_path, pages):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    pages.repartition(3, "page_id").write.parquet(source)
+    parsed = []
+
+    def parse(rows):
+        parsed.extend(r["page_id"] for r in rows.select("page_id").collect())
+        return pg.parse_reviews(rows)
+
+    append_parsed(page_stream(spark, source, files=1), parse, out, state)
+    pages.write.mode("append").parquet(source)
+    append_parsed(page_stream(spark, source, files=1), parse, out, state)
+    assert sorted(parsed) == [1, 2, 3] and spark.read.parquet(out).count() == 3
+
+
 def test_key_words_come_from_linked_cells(spark):
     page = "<table><tr><td><b>x</b><a href='#'>Lyrica Tablets</a></td><td>none</td><td><a>Advil</a></td></tr></table>"
     df = spark.createDataFrame([(1, "u", page)], pg.PAGE_SCHEMA)
