@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.session import scratch_path
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again, which cuts its lineage."""
-    place = scratch_path(df.sparkSession, name)
-    df.write.parquet(place)
-    return df.sparkSession.read.parquet(place)
+from panelforge.llm.frames import kept
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -44,10 +38,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"))
     edges = edges.filter(F.col("u").isNotNull() & F.col("v").isNotNull() & (F.col("u") != F.col("v")))
-    edges = _kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(most_rounds):
-        edges = _kept(_star(_star(edges, True), False), "edges")
+        edges = kept(_star(_star(edges, True), False), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -56,3 +50,17 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     child = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return child.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least row that each of `n` rows reaches by the pairs (i, j)."""
+    label = np.arange(n)
+    while len(i):
+        least = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label

@@ -18,10 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.components import connected_components
-from panelforge.llm.frames import binaries, by_slices, key_runs, rows_of
+from panelforge.llm.components import connected_components, least_labels
+from panelforge.llm.frames import binaries, by_slices, kept, key_runs, rows_of
 from panelforge.llm.words import combine
-from panelforge.session import scratch_path
 
 COSINE = 0.95
 
@@ -120,27 +119,12 @@ def _bucket_lists(p: Polytopes, kind: type, rotations: dict[int, int]):
 def _visits(p: Polytopes):
     """(bucket, cls) for every bucket that a vector visits, once each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cls, listed in zip(batch.column("cls").to_pylist(), batch.column("buckets").to_pylist(), strict=True):
-                own = np.unique(np.frombuffer(listed, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), cls))], names=["bucket", "cls"])
-
-    return run
-
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [np.unique(np.frombuffer(b, np.int64)) for b in batch.column("buckets").to_pylist()]
+        cls = np.repeat(batch.column("cls").to_numpy(), [len(b) for b in own])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(cls)], names=["bucket", "cls"])
 
-def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least row that each of `n` rows reaches by the pairs (i, j)."""
-    label = np.arange(n)
-    while len(i):
-        least = np.minimum(label[i], label[j])
-        before = label.copy()
-        np.minimum.at(label, i, least)
-        np.minimum.at(label, j, least)
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
+    return by_slices(work, 1024)
 
 
 def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,7 +165,7 @@ def _meetings(p: Polytopes, kind: type, cosine: float):
             return None
         links = np.bincount(i, copies[j], len(cls)) + np.bincount(j, copies[i], len(cls))
         hit = np.flatnonzero(links)
-        root = cls[_labels(len(cls), i, j)[hit]]
+        root = cls[least_labels(len(cls), i, j)[hit]]
         return pa.RecordBatch.from_arrays([pa.array(cls[hit]), pa.array(links[hit].astype(np.int64)), pa.array(root)], names=["cls", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,12 +177,6 @@ def _meetings(p: Polytopes, kind: type, cosine: float):
     return run
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    place = scratch_path(df.sparkSession, name)
-    df.write.parquet(place)
-    return df.sparkSession.read.parquet(place)
-
-
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, p: Polytopes = Polytopes()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
@@ -216,13 +194,13 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = df.select(F.col(key).cast("long").alias("vec_id"), plain.alias("embedding"))
     rows = rows.withColumn("cls", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("embedding")))
     classes = rows.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
-    classes = _kept(classes, "vectors")
+    classes = kept(classes, "vectors")
     # one row per vector width
     rotations = {r["w"]: p.rotations(r["n"], r["w"]) for r in classes.groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n")).collect()}
 
     schema = "cls long, n long, width long, raw binary, buckets binary"
-    hashed = _kept(classes.select("cls", "n", "embedding").mapInArrow(_bucket_lists(p, kind, rotations), schema), "hashed")
-    visits = _kept(hashed.select("cls", "buckets").mapInArrow(_visits(p), "bucket long, cls long"), "visits")
+    hashed = kept(classes.select("cls", "n", "embedding").mapInArrow(_bucket_lists(p, kind, rotations), schema), "hashed")
+    visits = kept(hashed.select("cls", "buckets").mapInArrow(_visits(p), "bucket long, cls long"), "visits")
     crowded = visits.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     crowded = crowded.select("bucket", F.ceil(F.col("size") / p.slice_rows).cast("int").alias("slices"))
     met = visits.join(crowded, "bucket").withColumn("slice", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int"))
@@ -230,7 +208,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     met = met.select("bucket", "cls", "slice", F.least("slice", "other").alias("block_a"), F.greatest("slice", "other").alias("block_b"))
     met = met.join(hashed, "cls")
     blocks = met.repartition("bucket", "width", "block_a", "block_b").sortWithinPartitions("bucket", "width", "block_a", "block_b", "cls")
-    found = _kept(blocks.mapInArrow(_meetings(p, kind, cosine), "cls long, links long, root long"), "links")
+    found = kept(blocks.mapInArrow(_meetings(p, kind, cosine), "cls long, links long, root long"), "links")
 
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     reach = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))

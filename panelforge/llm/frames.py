@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.session import scratch_path
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -19,6 +21,13 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text", *more: Column)
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read again, which cuts its lineage."""
+    place = scratch_path(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Rows whose labels no model may learn from; a null key counts as learnable."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))

@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.frames import texts
+from panelforge.llm.frames import kept, texts
 from panelforge.llm.token_counts import encoder
-from panelforge.session import scratch_path
 
 CAPACITY = 2048
 END = 0
@@ -213,27 +212,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, p: Islands = Islands()) ->
     meaning, offsets of a sequence are gapless from 0. Repeated rows are pieces of their
     own; null ids are allowed; no piece gives no sequence.
     """
-    spark = pieces.sparkSession
-    place = scratch_path(spark, "pieces")
-    pieces.select("doc_id", "piece", "start", "length", "ids_crc32").write.parquet(place)
-    pieces = spark.read.parquet(place)
+    pieces = kept(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
     full = pieces.filter(F.col("length") >= capacity)
     alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     part = pieces.filter(F.col("length") < capacity)
     shards = max(1, -(-part.count() // p.shard_pieces))
     # the salt deals copies of a document to different shards
     part = part.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
-    dealt = scratch_path(spark, "shards")
-    part.write.parquet(dealt)
-    part = spark.read.parquet(dealt)
+    part = kept(part, "shards")
 
     state = "shard long, island int, sizes array<int>, bins array<int>"
     isles = part.select("shard", "length", F.explode(F.sequence(F.lit(0), F.lit(p.islands - 1))).alias("island"))
     solved = isles.groupBy("shard", "island").applyInPandas(_first_round(capacity, p), state)
     for step in range(1, p.rounds):
-        kept = scratch_path(spark, "islands")
-        solved.write.parquet(kept)
-        solved = spark.read.parquet(kept)
+        solved = kept(solved, "islands")
         elite = solved.select("shard", F.pmod(F.col("island") + 1, F.lit(p.islands)).cast("int").alias("island"), F.col("bins").alias("visitor"))
         met = solved.join(elite, ["shard", "island"]).repartition("shard", "island")
         solved = met.mapInPandas(_next_round(capacity, p, step), state)

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.frames import texts
-from panelforge.session import scratch_path
+from panelforge.llm.frames import kept, texts
 
 #: Frequent words of English, French, German and Spanish.
 COMMON_WORDS = (
@@ -163,10 +162,7 @@ def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", lang:
     language are judged but give no reference; if no document has one, the base rules
     decide alone. Rows are judged one by one, so repeated rows and null keys stay.
     """
-    spark = df.sparkSession
-    place = scratch_path(spark, "quality")
-    text_features(df, key, text, lang).write.parquet(place)
-    features = spark.read.parquet(place)
+    features = kept(text_features(df, key, text, lang), "quality")
     near = within_references(language_references(features))
     return features.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
