@@ -303,7 +303,11 @@ def _examples(texts_: list[str]) -> list[tuple[Zone, dict[tuple[int, int], int]]
 def fit(df: DataFrame, text: str = "text", docs: int = TRAIN_DOCS, most_zones: int = TRAIN_ZONES) -> SemiMarkov:
     """A field learned from at most `docs` texts with a digit or an at sign, of at most 20,000 characters."""
     rows = df.select(F.col(text).cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20000))
-    chosen = [r["text"] for r in rows.orderBy(F.xxhash64("text"), "text").limit(docs).collect()]
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    # the bound is found on hashes alone, so that no other text comes to the driver
+    bound = rows.select("hash").distinct().orderBy("hash").limit(docs).agg(F.max("hash")).first()[0]
+    found = rows.filter(F.col("hash") <= bound).groupBy("hash").agg(F.min("text").alias("text")).collect() if bound is not None else []
+    chosen = [r["text"] for r in sorted(found, key=lambda r: r["hash"])]
     examples = _examples(chosen)
     labelled, plain = [e for e in examples if e[1]], [e for e in examples if not e[1]]
     model = SemiMarkov()
