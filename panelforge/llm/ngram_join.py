@@ -7,10 +7,9 @@
    units that share a column and may hold linked sizes make blocks. A block multiplies
    the incidence matrices of two bounded slices, a run of columns at a time, and drops
    all pairs whose count stays below the bound that their sizes imply.
-3. Of the pairs left, each class first has only its least partner of a block verified on
-   whole sets. Those links are merged; then all pairs left whose ends are not connected
-   yet are verified. So dense groups cost about one verification per member, and no link
-   between two components is missed.
+3. The members of a block that have a pair left get their whole sets, and a second
+   product over all columns gives the exact overlaps. A block sends on no pairs, but for
+   each linked member the least one it is connected with.
 """
 
 from __future__ import annotations
@@ -24,11 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelforge.llm.components import connected_components
-from panelforge.llm.frames import key_runs, texts
+from panelforge.llm.components import connected_components, least_labels
+from panelforge.llm.frames import kept, key_runs, texts
 from panelforge.llm.url_filter import bloom_blocks, bloom_hits, bloom_misses
 from panelforge.llm.words import shingle_sets, word_hashes
-from panelforge.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -37,8 +35,7 @@ class JaccardJoin:
 
     `heavy`: prefixes an n-gram must be in to move to the end of the order, and the most
     n-grams that do; both change the work and not the result. `slice_rows`: rows of a side
-    of a block; `columns`: columns multiplied at a time; `members`: sets verified with one
-    copy of their partner.
+    of a block; `columns`: columns multiplied at a time.
     """
 
     width: int = 5
@@ -48,7 +45,6 @@ class JaccardJoin:
     most_heavy: int = 1_000_000
     slice_rows: int = 512
     columns: int = 4096
-    members: int = 256
 
     def prefix(self, n):
         """Length of the prefix of a set of n: a linked set shares part/whole of it or more."""
@@ -59,9 +55,16 @@ class JaccardJoin:
         both = self.part + self.whole
         return (self.part * (a + b) + both - 1) // both
 
-    def enough(self, a, b):
-        """The least number of shared prefix columns of linked sets: what is outside the prefixes cannot add more."""
-        return np.maximum(1, self.overlap(a, b) - np.maximum(a - self.prefix(a), b - self.prefix(b)))
+    def enough(self, a, b, last_a, last_b):
+        """The least number of shared prefix columns of linked sets.
+
+        Common columns up to the earlier end of the two prefixes are in both; after it the
+        set whose prefix ends there can add what it has outside. Where the ends are not
+        told apart, the larger rest counts.
+        """
+        rest_a, rest_b = a - self.prefix(a), b - self.prefix(b)
+        rest = np.where(last_a < last_b, rest_a, np.where(last_b < last_a, rest_b, np.maximum(rest_a, rest_b)))
+        return np.maximum(1, self.overlap(a, b) - rest)
 
     def sizes_fit(self, a, b):
         return self.whole * np.minimum(a, b) >= self.part * np.maximum(a, b)
@@ -79,8 +82,14 @@ def _class(found: np.ndarray) -> int | None:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64)) if len(found) else None
 
 
+PREFIXES = "doc_id long, n long, cls long, tokens array<long>, last long"
+
+
 def _prefixes(p: JaccardJoin, heavy: np.ndarray):
-    """(doc_id, n, cls, tokens) of each row; a class's prefix is sent once by a task."""
+    """(doc_id, n, cls, tokens, last) of each row; a class's prefix is sent once by a task.
+
+    `last` is the place of the prefix's end in the order, in steps of four hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -88,28 +97,31 @@ def _prefixes(p: JaccardJoin, heavy: np.ndarray):
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 ids = batch.column("doc_id").to_pylist()
-                sizes, classes, tokens = [], [], []
+                sizes, classes, tokens, lasts = [], [], [], []
                 for row, found in _sets(batch, p):
                     cls = _class(found)
                     sizes.append(len(found))
                     classes.append(cls)
                     if cls is None or cls in sent or ids[row] is None:
                         tokens.append(np.empty(0, np.int64))
+                        lasts.append(0)
                         continue
                     if len(sent) > 1_000_000:
                         sent.clear()
                     sent.add(cls)
-                    length = p.prefix(len(found))
+                    length, late_end = p.prefix(len(found)), 0
                     if len(heavy):
                         spot = np.minimum(np.searchsorted(heavy, found), len(heavy) - 1)
                         late = heavy[spot] == found
                         light = found[~late]
-                        found = light[:length] if len(light) >= length else np.concatenate([light, found[late][: length - len(light)]])
+                        late_end = int(len(light) < length)
+                        found = np.concatenate([light, found[late][: length - len(light)]]) if late_end else light
                     tokens.append(found[:length].view(np.int64))
+                    lasts.append((late_end << 62) | (int(found[length - 1]) >> 2))
                 ends = np.cumsum([0, *map(len, tokens)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens)))
-                columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "tokens"])
+                columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists, pa.array(lasts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "cls", "tokens", "last"])
 
     return run
 
@@ -137,81 +149,79 @@ BLOCK = ("home_a", "band_a", "home_b", "band_b", "slice_a", "slice_b")
 def _product(left: list[np.ndarray], right: list[np.ndarray], columns: int) -> np.ndarray:
     """Counts of common tokens of every row of `left` with every row of `right`."""
     counts = np.zeros((len(left), len(right)), np.float32)
-    tokens = np.concatenate([*left, *right])
-    _, place = np.unique(tokens, return_inverse=True)
     row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, place, often = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    common = often[place] > 1
+    place, row = (np.cumsum(often > 1) - 1)[place[common]], row[common]
     order = np.argsort(place, kind="stable")
     place, row = place[order], row[order]
-    for begin in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+    width = int(place[-1]) + 1 if len(place) else 0
+    for begin in range(0, width, columns):
         some = slice(*np.searchsorted(place, [begin, begin + columns]))
-        matrix = np.zeros((len(left) + len(right), columns if columns < place[-1] + 1 else int(place[-1]) + 1), np.float32)
+        matrix = np.zeros((len(left) + len(right), min(columns, width - begin)), np.float32)
         matrix[row[some], place[some] - begin] = 1
         counts += matrix[: len(left)] @ matrix[len(left) :].T
     return counts
 
 
-def _block_pairs(p: JaccardJoin, rest: bool):
-    """(a, b) of the pairs of a block to verify: the least partners, or all the rest."""
+def _sides(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of both sides of a block; those of a slice with itself are on both."""
+    side = rows.column("side").to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return left, right if len(right) else left
+
 
-    def block(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray] | None:
-        side = rows.column("side").to_numpy()
-        cls, sizes, component = (rows.column(c).to_numpy() for c in ("cls", "n", "component"))
+def _candidates(p: JaccardJoin):
+    """(block, side, cls) of the members with a pair that may link."""
+
+    def block(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        left, right = _sides(rows)
+        if not len(left) or len(rows) < 2:
+            return None
+        cls, sizes, last = (rows.column(c).to_numpy() for c in ("cls", "n", "last"))
         lists = rows.column("tokens")
         ends = np.cumsum([0, *np.asarray(lists.value_lengths())])
         flat = np.asarray(lists.flatten())
         tokens = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        alone = not len(right)
-        if alone:
-            right = left
-        if not len(left) or (alone and len(left) < 2) or (rest and len(np.unique(component)) < 2):
-            return None
         counts = _product([tokens[k] for k in left], [tokens[k] for k in right], p.columns)
         a, b = sizes[left][:, None], sizes[right][None, :]
-        fit = (counts >= p.enough(a, b)) & p.sizes_fit(a, b) & (cls[left][:, None] != cls[right][None, :])
-        if not fit.any():
-            return None
-        # rows are sorted by class, so the first partner is the least one
-        first = np.zeros_like(fit)
-        rows_with, columns_with = np.flatnonzero(fit.any(axis=1)), np.flatnonzero(fit.any(axis=0))
-        first[rows_with, fit.argmax(axis=1)[rows_with]] = True
-        first[fit.argmax(axis=0)[columns_with], columns_with] = True
-        if rest:
-            first |= first.T if alone else False
-            fit &= ~first & (component[left][:, None] != component[right][None, :])
-        else:
-            fit = first
-        i, j = np.nonzero(fit)
-        a, b = cls[left][i], cls[right][j]
-        return np.minimum(a, b), np.maximum(a, b)
+        fit = (counts >= p.enough(a, b, last[left][:, None], last[right][None, :])) & p.sizes_fit(a, b) & (cls[left][:, None] != cls[right][None, :])
+        hit = np.zeros(len(rows), bool)
+        hit[left] |= fit.any(axis=1)
+        hit[right] |= fit.any(axis=0)
+        return rows.select([*BLOCK, "side", "cls"]).filter(pa.array(hit)) if hit.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in key_runs(batches, BLOCK):
             found = block(rows)
-            if found is not None and len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+            if found is not None:
+                yield found
 
     return run
 
 
-def _verified(p: JaccardJoin):
-    """(a, b) of the links among a set and its partners; the set itself comes first."""
+def _links(p: JaccardJoin):
+    """(a, b) of linked members of a block: each with the least one it is connected with."""
+
+    def block(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        left, right = _sides(rows)
+        if not len(left) or len(rows) < 2:
+            return None
+        grams = [np.frombuffer(g, np.uint64) for g in rows.column("grams").to_pylist()]
+        sizes = np.array([len(g) for g in grams])
+        cls = rows.column("cls").to_numpy()
+        counts = _product([grams[k] for k in left], [grams[k] for k in right], p.columns)
+        i, j = np.nonzero((counts >= p.overlap(sizes[left][:, None], sizes[right][None, :])) & (cls[left][:, None] != cls[right][None, :]))
+        i, j = left[i], right[j]
+        label = least_labels(len(rows), i, j)
+        hit = np.flatnonzero(label != np.arange(len(rows)))
+        return pa.RecordBatch.from_arrays([pa.array(cls[hit]), pa.array(cls[label[hit]])], names=["a", "b"]) if len(hit) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in key_runs(batches, ("a", "salt")):
-            grams = [np.frombuffer(g, np.uint64) for g in rows.column("grams").to_pylist()]
-            centre, partners = grams[0], grams[1:]
-            sizes = np.array([len(g) for g in partners])
-            if not len(sizes) or rows.column("member")[0].as_py():
-                continue
-            flat = np.concatenate(partners)
-            spot = np.minimum(np.searchsorted(centre, flat), len(centre) - 1)
-            common = np.add.reduceat((centre[spot] == flat).astype(np.int64), np.cumsum([0, *sizes[:-1]]))
-            linked = np.flatnonzero(common >= p.overlap(sizes, len(centre)))
-            if len(linked):
-                b = rows.column("b").slice(1).to_numpy()[linked]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), rows.column("a")[0].as_py())), pa.array(b)], names=["a", "b"])
+        for rows in key_runs(batches, BLOCK):
+            found = block(rows)
+            if found is not None:
+                yield found
 
     return run
 
@@ -219,65 +229,79 @@ def _verified(p: JaccardJoin):
 # --- on Spark ------------------------------------------------------------------------
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    place = scratch_path(df.sparkSession, name)
-    df.write.parquet(place)
-    return df.sparkSession.read.parquet(place)
-
-
 def heavy_tokens(docs: DataFrame, p: JaccardJoin) -> np.ndarray:
     """The n-grams of the most prefixes, at most `p.most_heavy`, sorted."""
-    first = docs.mapInArrow(_prefixes(p, np.empty(0, np.uint64)), "doc_id long, n long, cls long, tokens array<long>")
+    first = docs.mapInArrow(_prefixes(p, np.empty(0, np.uint64)), PREFIXES)
     counts = first.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("count"))
     rows = counts.filter(F.col("count") >= p.heavy).orderBy(F.desc("count"), "token").limit(p.most_heavy).select("token").toArrow()
     return np.sort(rows.column("token").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def blocks_of(lists: DataFrame, p: JaccardJoin) -> DataFrame:
-    """The members of every block, sorted within it; `lists` has (cls, n, tokens, home, band, component)."""
-    sizes = lists.groupBy("home", "band").agg(F.count("*").alias("size"))
-    sizes = sizes.select("home", "band", "size", F.ceil(F.col("size") / p.slice_rows).cast("int").alias("slices"))
+UNIT = ("size", "slices", "least_n", "most_n", "first_end", "final_end")
+
+
+def _shared_enough(p: JaccardJoin):
+    """Whether units a and b share enough columns for any of their pairs, by `JaccardJoin.enough`."""
+
+    def ceil_div(x, by: int):
+        return F.ceil(x / F.lit(float(by)))
+
+    def rest(n):
+        return ceil_div(n * p.part, p.whole) - 1
+
+    overlap = ceil_div((F.col("least_n_a") + F.col("least_n_b")) * p.part, p.part + p.whole)
+    rest_a, rest_b = rest(F.col("most_n_a")), rest(F.col("most_n_b"))
+    most = F.when(F.col("final_end_a") < F.col("first_end_b"), rest_a).when(F.col("final_end_b") < F.col("first_end_a"), rest_b)
+    return F.col("columns") >= overlap - F.coalesce(most, F.greatest(rest_a, rest_b))
+
+
+def grid_of(lists: DataFrame, p: JaccardJoin) -> tuple[DataFrame, DataFrame]:
+    """The blocks to multiply, and the units with their numbers of slices.
+
+    A unit has the classes of a home column and a band of sizes. Two units make blocks if
+    they share as many columns as their sizes demand of a linked pair.
+    """
+    units = lists.groupBy("home", "band").agg(
+        F.count("*").alias("size"), F.ceil(F.count("*") / p.slice_rows).cast("int").alias("slices"),
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("last").alias("first_end"), F.max("last").alias("final_end"),
+    )
+    units = kept(units, "units")
     columns = lists.select(F.explode("tokens").alias("token"), "home", "band").distinct()
     a = columns.select("token", F.col("home").alias("home_a"), F.col("band").alias("band_a"))
     b = columns.select("token", F.col("home").alias("home_b"), F.col("band").alias("band_b"))
     ordered = (F.col("band_b") == F.col("band_a") + 1) | ((F.col("band_a") == F.col("band_b")) & (F.col("home_a") <= F.col("home_b")))
-    pairs = a.join(b, "token").filter(ordered).select("home_a", "band_a", "home_b", "band_b").distinct()
-    pairs = pairs.join(sizes.select(F.col("home").alias("home_a"), F.col("band").alias("band_a"), F.col("slices").alias("slices_a"), "size"), ["home_a", "band_a"])
-    pairs = pairs.join(sizes.select(F.col("home").alias("home_b"), F.col("band").alias("band_b"), F.col("slices").alias("slices_b")), ["home_b", "band_b"])
+    pairs = a.join(b, "token").filter(ordered).groupBy("home_a", "band_a", "home_b", "band_b").agg(F.count("*").alias("columns"))
+    for side in ("a", "b"):
+        pairs = pairs.join(units.select(*(F.col(c).alias(f"{c}_{side}") for c in ("home", "band", *UNIT))), [f"home_{side}", f"band_{side}"])
     same = (F.col("home_a") == F.col("home_b")) & (F.col("band_a") == F.col("band_b"))
-    pairs = pairs.filter(~same | (F.col("size") > 1))
+    pairs = pairs.filter(F.when(same, F.col("size_a") > 1).otherwise(_shared_enough(p)))
     grid = pairs.withColumn("slice_a", F.explode(F.sequence(F.lit(0), F.col("slices_a") - 1)))
     grid = grid.withColumn("slice_b", F.explode(F.sequence(F.lit(0), F.col("slices_b") - 1)))
-    grid = _kept(grid.filter(~same | (F.col("slice_a") <= F.col("slice_b"))).select(*BLOCK), "grid")
-    members = lists.join(sizes.select("home", "band", "slices"), ["home", "band"])
+    return kept(grid.filter(~same | (F.col("slice_a") <= F.col("slice_b"))).select(*BLOCK), "grid"), units
+
+
+def blocks_of(lists: DataFrame, grid: DataFrame, units: DataFrame) -> DataFrame:
+    """The members of every block, sorted within it."""
+    members = lists.join(units.select("home", "band", "slices"), ["home", "band"])
     members = members.withColumn("slice", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int"))
-    members = members.select("home", "band", "slice", "cls", "n", "tokens", "component")
+    columns = ("cls", "n", "tokens", "last")
+    members = members.select("home", "band", "slice", *columns)
     same_slice = (F.col("home_a") == F.col("home_b")) & (F.col("band_a") == F.col("band_b")) & (F.col("slice_a") == F.col("slice_b"))
-    left = grid.join(members.toDF("home_a", "band_a", "slice_a", "cls", "n", "tokens", "component"), ["home_a", "band_a", "slice_a"])
-    right = grid.filter(~same_slice).join(members.toDF("home_b", "band_b", "slice_b", "cls", "n", "tokens", "component"), ["home_b", "band_b", "slice_b"])
+    left = grid.join(members.toDF("home_a", "band_a", "slice_a", *columns), ["home_a", "band_a", "slice_a"])
+    right = grid.filter(~same_slice).join(members.toDF("home_b", "band_b", "slice_b", *columns), ["home_b", "band_b", "slice_b"])
     rows = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
     return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "side", "cls")
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: JaccardJoin) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    pairs = _kept(pairs.distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "least"), "cls")
-    needed = _kept(needed.select("cls", F.col("least").alias("doc_id")), "needed")
-    # texts of other documents are dropped before anything is shuffled
-    keys = needed.select(F.col("doc_id").cast("string").alias("key"))
-    filled, blocks = bloom_blocks(keys, needed.count())
-    possible = bloom_hits(docs.withColumn("key", F.col("doc_id").cast("string")), filled, blocks).select("doc_id", "text")
-    sets = possible.mapInArrow(_whole_sets(p), "doc_id long, cls long, grams binary").join(needed, ["doc_id", "cls"]).dropDuplicates(["cls"])
-    sets = _kept(sets.select("cls", "grams"), "sets")
+def whole_sets(classes: DataFrame, docs: DataFrame, p: JaccardJoin) -> DataFrame:
+    """(cls, grams) of `classes` (cls, doc_id), from the text of a document of each class.
 
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.members).cast("int").alias("salts"))
-    dealt = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    partners = dealt.select("a", "salt", "b").join(sets.withColumnRenamed("cls", "b"), "b")
-    centres = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("cls", "a"), "a").withColumn("b", F.lit(None).cast("long"))
-    rows = partners.withColumn("member", F.lit(True)).unionByName(centres.withColumn("member", F.lit(False)))
-    rows = rows.select("a", "salt", "member", "b", "grams").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "b")
-    return _kept(rows.mapInArrow(_verified(p), "a long, b long"), "links")
+    A Bloom filter of the ids drops other documents before anything is shuffled.
+    """
+    filled, blocks = bloom_blocks(classes.select(F.col("doc_id").cast("string").alias("key")), classes.count())
+    possible = bloom_hits(docs.withColumn("key", F.col("doc_id").cast("string")), filled, blocks).select("doc_id", "text")
+    sets = possible.mapInArrow(_whole_sets(p), "doc_id long, cls long, grams binary")
+    return sets.join(classes, ["doc_id", "cls"]).dropDuplicates(["cls"]).select("cls", "grams")
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p: JaccardJoin = JaccardJoin()) -> DataFrame:
@@ -289,25 +313,25 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p
     """
     docs = texts(df, key, text)
     heavy = heavy_tokens(docs, p)
-    schema = "doc_id long, n long, cls long, tokens array<long>"
-    rows = _kept(docs.mapInArrow(_prefixes(p, heavy), schema), "prefixes")
+    rows = kept(docs.mapInArrow(_prefixes(p, heavy), PREFIXES), "prefixes")
     named = rows.filter(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
-    classes = _kept(named.groupBy("cls").agg(F.min("doc_id").alias("least")), "classes")
+    classes = kept(named.groupBy("cls").agg(F.min("doc_id").alias("least")), "classes")
 
-    columns = named.select("cls", "n", F.explode("tokens").alias("token"))
+    columns = named.select("cls", "n", "last", F.explode("tokens").alias("token"))
     by_token = Window.partitionBy("token")
     shared = columns.select("*", F.min("cls").over(by_token).alias("low"), F.max("cls").over(by_token).alias("high"), F.count("*").over(by_token).alias("count")).filter("low < high")
-    lists = shared.groupBy("cls").agg(F.first("n").alias("n"), F.collect_set("token").alias("tokens"), F.max(F.struct("count", "token"))["token"].alias("home"))
+    lists = shared.groupBy("cls").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.collect_set("token").alias("tokens"), F.max(F.struct("count", "token"))["token"].alias("home"))
     # 1.34 is over 4/3, so linked sizes are in the same or in neighbouring bands
     ratio = 1.005 * p.whole / p.part
-    lists = _kept(lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio))).cast("int")), "lists")
+    lists = kept(lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio))).cast("int")), "lists")
 
-    found = blocks_of(lists.withColumn("component", F.col("cls")), p).mapInArrow(_block_pairs(p, False), "a long, b long")
-    links = verify(found, classes, docs, p)
-    reach = _kept(connected_components(links), "reach")
-    labelled = lists.join(reach.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    found = blocks_of(labelled, p).mapInArrow(_block_pairs(p, True), "a long, b long")
-    links = links.unionByName(verify(found, classes, docs, p))
+    grid, units = grid_of(lists, p)
+    key = ", ".join(f"{c} {'long' if c.startswith('home') else 'int'}" for c in BLOCK)
+    members = kept(blocks_of(lists, grid, units).mapInArrow(_candidates(p), f"{key}, side int, cls long"), "members")
+    needed = kept(members.select("cls").distinct().join(classes.select("cls", F.col("least").alias("doc_id")), "cls"), "needed")
+    verified = members.join(whole_sets(needed, docs, p), "cls")
+    verified = verified.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "side", "cls")
+    links = verified.mapInArrow(_links(p), "a long, b long")
 
     reach = connected_components(links).withColumnRenamed("node", "cls")
     joined = classes.join(reach, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
@@ -324,10 +348,10 @@ def first_of_groups(df: DataFrame, key: str = "doc_id", text: str = "text", p: J
     Rows without an id stay, and of rows that repeat an id one stays. A Bloom filter of the
     ids that go keeps the other rows, with their texts, out of the exact join.
     """
-    found = _kept(jaccard_components(df, key, text, p).filter(F.col("doc_id").isNotNull()).select("doc_id", "component_id"), "components")
+    found = kept(jaccard_components(df, key, text, p).filter(F.col("doc_id").isNotNull()).select("doc_id", "component_id"), "components")
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
     again = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    suspects = _kept(gone.unionByName(again).distinct(), "suspects")
+    suspects = kept(gone.unionByName(again).distinct(), "suspects")
     n = suspects.count()
     if not n:
         return df

@@ -72,7 +72,7 @@ def copies(spark):
     return spark.createDataFrame(list(enumerate(rows, 10)), "doc_id long, text string").selectExpr("*", "1 as n", "'x' as component", "2 as cls")
 
 
-@pytest.mark.parametrize("p", [{}, {"heavy": 3, "slice_rows": 7, "columns": 16, "members": 2}, {"heavy": 3, "most_heavy": 5}])
+@pytest.mark.parametrize("p", [{}, {"heavy": 3, "slice_rows": 7, "columns": 16}, {"heavy": 3, "most_heavy": 5}])
 def test_join_equals_all_pairs(copies, p):
     got = ngram_join.jaccard_components(copies, p=ngram_join.JaccardJoin(**p)).collect()
     texts = [(r["doc_id"], r["text"]) for r in copies.collect()]
@@ -105,7 +105,20 @@ def test_bounds_lose_no_linked_pair():
             for common in range(1, min(a, b) + 1):
                 if 100 * common >= 75 * (a + b - common):
                     assert common >= p.overlap(a, b) and p.sizes_fit(a, b)
-                    assert p.enough(a, b) <= common
+
+
+def test_linked_sets_share_enough_of_their_prefixes():
+    p, random_ = ngram_join.JaccardJoin(), np.random.default_rng(7)
+    linked = 0
+    for _ in range(4000):
+        base = random_.permutation(400)[: random_.integers(1, 80)]
+        a, b = (np.unique(np.append(base[random_.random(len(base)) < 0.95], random_.integers(0, 400, random_.integers(0, 4)))) for _ in range(2))
+        common = len(np.intersect1d(a, b))
+        if len(a) and len(b) and 100 * common >= 75 * (len(a) + len(b) - common):
+            linked += 1
+            left, right = a[: p.prefix(len(a))], b[: p.prefix(len(b))]
+            assert len(np.intersect1d(left, right)) >= p.enough(len(a), len(b), left[-1], right[-1])
+    assert linked > 500
 
 
 def brute_links(rows, cosine):
