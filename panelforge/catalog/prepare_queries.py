@@ -231,6 +231,30 @@ def nearest_neighbours(spark, folder):
     )
 
 
+_WIDE = 24
+_WIDE_VECTOR = "list_transform(range(1, 25), lambda i: floor(embedding[i]::DOUBLE * 50))"
+
+
+@query(
+    "J5",
+    f"WITH p AS MATERIALIZED (SELECT vec_id, label, {_WIDE_VECTOR} AS x FROM embeddings), "
+    "n AS (SELECT q.vec_id, d.vec_id AS donor, list_sum(list_transform(range(1, 25), lambda i: (q.x[i] - d.x[i]) * (q.x[i] - d.x[i]))) AS distance "
+    "FROM p q JOIN p d ON q.label = 1 AND d.label <> 1), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, donor) AS place FROM n) "
+    "SELECT vec_id, place::INTEGER AS rank, donor, distance FROM r WHERE place <= 5",
+)
+def nearest_neighbours_wide(spark, folder):
+    """Many dimensions and units so small that donors are cut into cells at any scale."""
+    dims = [f"x{i}" for i in range(_WIDE)]
+    values = [F.floor(F.get("embedding", F.lit(i)).cast("double") * 50).cast("double").alias(d) for i, d in enumerate(dims)]
+    df = cut(read_table(spark, folder, "embeddings").select("vec_id", "label", *values).withColumn("vector", vector_text(dims)))
+    queries, donors = df.where("label = 1"), df.where("label <> 1")
+    near = nearest_join(
+        queries.dropDuplicates(["vector"]), first_per_vector(donors, "vector", "vec_id", 5), dims, 5, "vector", "vec_id", [], unit_rows=32
+    )
+    return queries.select("vec_id", F.col("vector").alias("query")).join(near, "query").select("vec_id", "rank", "donor", "distance")
+
+
 def _smote_sql() -> str:
     mixed = ", ".join(v.sql_r6(f"b.{c} + b.step * (d.{c} - b.{c})") + f" AS {c}" for c in _DIMS)
     draw = "concat(m.c_custkey, '/', copy)"

@@ -171,10 +171,10 @@ def _cells_within(batches, cells, low, high, full, total, radius: bool):
         yield pd.concat(parts)
 
 
-def _with_parts(queries: DataFrame, donors: DataFrame, donor_parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _with_parts(queries: DataFrame, donors: DataFrame, donor_parts: DataFrame, unit: int) -> tuple[DataFrame, DataFrame]:
     """Add to both sides into how many slices the cell's queries and donors are cut."""
     sizes = queries.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / QUERIES_PER_UNIT).cast("int").alias("query_parts")
+        F.ceil(F.count(F.lit(1)) / unit).cast("int").alias("query_parts")
     ).join(donor_parts, "cell")
     # At most one row per cell, so a crowded cell needs no shuffle by its number.
     sizes = F.broadcast(sizes)
@@ -221,13 +221,17 @@ def nearest_join(
     key: str,
     payload: Sequence[str],
     total: int | None = None,
+    unit_rows: int | None = None,
 ) -> DataFrame:
     """(query, rank, donor, distance, payload) of the k nearest donors per query.
 
     `distance` is squared. `payload` columns arrive as one array of doubles. Both
     inputs are read more than once, so callers pass written or cached tables.
+    `unit_rows` bounds the donors and the queries of a work unit; it changes the work and
+    not the result.
     """
     total = total or len(dims)
+    donor_unit, query_unit = unit_rows or DONORS_PER_UNIT, unit_rows or QUERIES_PER_UNIT
     vec = F.array(*[F.col(d).cast("double") for d in dims])
     schema = T.StructType(
         [
@@ -238,7 +242,7 @@ def nearest_join(
         ]
     )
     count = donors.count()
-    slices = -(-count // DONORS_PER_UNIT)
+    slices = -(-count // donor_unit)
     cuts = _cell_cuts(donors, dims, 1 if slices <= SLICES_WITHOUT_CELLS else min(MAX_CELLS, slices))
     q = queries.select(F.col(query).alias("query"), vec.alias("vec"))
     d = donors.select(
@@ -252,7 +256,7 @@ def nearest_join(
         parts = {
             "cell": F.lit(0),
             "donor_parts": F.lit(max(1, slices)),
-            "query_parts": F.lit(max(1, -(-queries.count() // QUERIES_PER_UNIT))),
+            "query_parts": F.lit(max(1, -(-queries.count() // query_unit))),
         }
         return _keep_nearest(_match_units(q.withColumns(parts), d.withColumns(parts), k, total, schema), k)
 
@@ -270,18 +274,18 @@ def nearest_join(
     full = np.array([r["full"] for r in summary], bool)
     low, high = np.where(full, low, 0.0), np.where(full, high, 0.0)
     parts = queries.sparkSession.createDataFrame(
-        [(int(r["cell"]), -(-r["n"] // DONORS_PER_UNIT)) for r in summary], "cell long, donor_parts int"
+        [(int(r["cell"]), -(-r["n"] // donor_unit)) for r in summary], "cell long, donor_parts int"
     )
     placed = T.StructType([T.StructField("query", schema["query"].dataType),
                            T.StructField("vec", T.ArrayType(T.DoubleType())),
                            T.StructField("cell", T.LongType())])
     choose = partial(_cells_within, cells=cells, low=low, high=high, full=full, total=total)
     home = cut(q.mapInPandas(partial(choose, radius=False), placed))
-    first = cut(_keep_nearest(_match_units(*_with_parts(home, d, parts), k, total, schema), k))
+    first = cut(_keep_nearest(_match_units(*_with_parts(home, d, parts, query_unit), k, total, schema), k))
     reach = first.groupBy("query").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("radius")
     )
     ranged = home.join(reach, "query", "left").fillna({"radius": float("inf")})
     others = cut(ranged.mapInPandas(partial(choose, radius=True), placed))
-    second = _match_units(*_with_parts(others, d, parts), k, total, schema)
+    second = _match_units(*_with_parts(others, d, parts, query_unit), k, total, schema)
     return _keep_nearest(first.select(*schema.fieldNames()).unionByName(second), k)
