@@ -41,7 +41,7 @@ class JaccardJoin:
     width: int = 5
     part: int = 75
     whole: int = 100
-    heavy: int = 100
+    heavy: int = 10
     most_heavy: int = 1_000_000
     slice_rows: int = 512
     columns: int = 4096
