@@ -128,11 +128,12 @@ def _visits(p: Polytopes):
 
 
 def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least bucket that one of two vectors visits and that is the other's own."""
-    none = np.iinfo(np.int64).max
-    least = np.full(len(a), none)
-    for one, other in ((a, b), (b, a)):
-        least = np.minimum(least, np.where(one == other[:, :, :1], one, none).min(axis=(1, 2), initial=none))
+    """The least bucket that both of two vectors visit, as their own or as a neighbour's."""
+    least = np.full(len(a), np.iinfo(np.int64).max)
+    for one in range(a.shape[2]):
+        for other in range(b.shape[2]):
+            rows, tables = np.nonzero(a[:, :, one] == b[:, :, other])
+            np.minimum.at(least, rows, a[rows, tables, one])
     return least
 
 
@@ -157,9 +158,13 @@ def _meetings(p: Polytopes, kind: type, cosine: float):
             i, j = left[at : at + 256][i], right[j]
             once = i < j if same else np.ones(len(i), bool)
             i, j = i[once], j[once]
-            first = _first_meeting(seen[i], seen[j]) == bucket
-            pairs_i.append(i[first])
-            pairs_j.append(j[first])
+            for begin in range(0, len(i), 16384):
+                some_i, some_j = i[begin : begin + 16384], j[begin : begin + 16384]
+                first = _first_meeting(seen[some_i], seen[some_j]) == bucket
+                pairs_i.append(some_i[first])
+                pairs_j.append(some_j[first])
+        if not pairs_i:
+            return None
         i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
         if not len(i):
             return None

@@ -152,6 +152,27 @@ def test_embeddings_equal_all_pairs(spark):
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def pairs_at(cosine, pairs, width, seed):
+    """Unrelated pairs of vectors, each at about the cosine: rows 2k and 2k + 1."""
+    random_ = np.random.default_rng(seed)
+    a, b = random_.normal(size=(2, pairs, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return np.stack([a, cosine * a + np.sqrt(1 - cosine * cosine) * b], axis=1).reshape(-1, width).astype(np.float32)
+
+
+def test_pairs_that_meet_in_any_bucket_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup.Polytopes, "rotations", lambda self, vectors, width: 4)
+    p, x = embedding_dedup.Polytopes(tables=2), pairs_at(0.951, 400, 64, 5)
+    seen = embedding_dedup.buckets(x.astype(float), p, 4).reshape(400, 2, -1)
+    met = {2 * k + side for k, (a, b) in enumerate(seen) if np.intersect1d(a, b).size for side in (0, 1)}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embedding_dedup.near_duplicates(frame, p=p).collect()
+    assert 400 < len(met) < 800 and {r["vec_id"] for r in got if r["n_links"] == 1} == met
+    assert all(r["n_links"] <= 1 for r in got)
+
+
 def test_embeddings_without_ids_and_without_rows(spark):
     schema = "vec_id long, embedding array<float>"
     rows = spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [0.0, 1.0]), (None, None)], schema)
