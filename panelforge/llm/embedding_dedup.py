@@ -11,7 +11,8 @@ its task: a block gives each vector's number of links and a spanning forest of t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +28,58 @@ COSINE = 0.95
 
 @dataclass(frozen=True)
 class Polytopes:
-    """Number of tables, and rows of a block.
+    """Least number of tables, rows of a block, and the share of pairs at the threshold to find.
 
     Each table joins as many rotations as give about as many buckets as there are vectors.
+    More rotations part more pairs, so their number sets the number of tables.
     """
 
     tables: int = 5
     slice_rows: int = 1024
     seed: int = 11
+    recall: float = 0.99
 
     def rotations(self, vectors: int, width: int) -> int:
         return max(1, int(np.ceil(np.log(max(2, vectors)) / np.log(2 * _padded(width)))))
 
+    def enough(self, rotations: int, width: int, cosine: float) -> Polytopes:
+        """The same with as many tables as find `recall` of the pairs at the cosine, or more."""
+        missed = 1 - meeting_share(rotations, _padded(width), cosine)
+        needed = int(np.ceil(np.log(1 - self.recall) / np.log(missed))) if missed > 0 else 1
+        return replace(self, tables=max(self.tables, needed))
+
+
+@lru_cache
+def meeting_share(rotations: int, width: int, cosine: float) -> float:
+    """The share of pairs at the cosine that share a bucket of one table, own or next to it.
+
+    Drawn pairs give the shares of one rotation: nearest axes equal; else an axis of one
+    nearest and the other's second, both so, or second axes equal. Rotations of a table are
+    independent: at most one may differ, or two that cross, one in each direction.
+    """
+    pairs = max(512, min(16384, (1 << 21) // width))
+    a, b = np.random.default_rng(5).normal(size=(2, pairs, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    first_a, second_a = _nearest_axes(a)
+    first_b, second_b = _nearest_axes(cosine * a + np.sqrt(max(0.0, 1 - cosine * cosine)) * b)
+    apart = first_a != first_b
+    forth, back = apart & (second_a == first_b), apart & (first_a == second_b)
+    same, one = 1 - apart.mean(), (forth | back | apart & (second_a == second_b)).mean()
+    two = 2 * forth.mean() * back.mean() - (forth & back).mean() ** 2
+    k = rotations
+    return float(same**k + k * same ** (k - 1) * one + (k * (k - 1) / 2 * same ** (k - 2) * two if k > 1 else 0))
+
+
+def _nearest_axes(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest and the second nearest signed axis of each row."""
+    line, size = np.arange(len(y)), np.abs(y)
+    best = size.argmax(axis=1)
+    size[line, best] = -1
+    second = size.argmax(axis=1)
+    return 2 * best + (y[line, best] < 0), 2 * second + (y[line, second] < 0)
+
 
 def _padded(width: int) -> int:
     return 1 << max(1, (width - 1).bit_length())
@@ -62,19 +103,15 @@ def buckets(x: np.ndarray, p: Polytopes, rotations: int) -> np.ndarray:
     padded[:, : x.shape[1]] = x
     signs = np.random.default_rng(p.seed).choice([-1.0, 1.0], (p.tables, rotations, 3, width))
     out = np.zeros((len(x), p.tables, 1 + rotations), np.int64)
-    line = np.arange(len(x))
     for t in range(p.tables):
         first, second = [], []
         for r in range(rotations):
             y = padded
             for k in range(3):
                 y = hadamard(y * signs[t, r, k])
-            size = np.abs(y)
-            best = size.argmax(axis=1)
-            first.append(2 * best + (y[line, best] < 0))
-            size[line, best] = -1
-            best = size.argmax(axis=1)
-            second.append(2 * best + (y[line, best] < 0))
+            nearest, next_ = _nearest_axes(y)
+            first.append(nearest)
+            second.append(next_)
         for probe in range(1 + rotations):
             number = np.full(len(x), 2 * t + 1 + x.shape[1] * 1000, np.uint64)
             for r in range(rotations):
@@ -94,7 +131,7 @@ def _unit(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _bucket_lists(p: Polytopes, kind: type, rotations: dict[int, int]):
+def _bucket_lists(kind: type, shapes: dict[int, tuple[Polytopes, int]]):
     """(cls, width, raw, buckets): the vector's bytes and all buckets that it visits."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -105,7 +142,7 @@ def _bucket_lists(p: Polytopes, kind: type, rotations: dict[int, int]):
         for width in np.unique(widths):
             rows = np.flatnonzero(widths == width)
             x = flat[(ends[rows] - width)[:, None] + np.arange(width)]
-            visited = buckets(_unit(x), p, rotations[int(width)])
+            visited = buckets(_unit(x), *shapes[int(width)])
             order.append(rows)
             raw.append(binaries(x))
             found.append(binaries(visited.reshape(len(rows), -1)))
@@ -116,7 +153,7 @@ def _bucket_lists(p: Polytopes, kind: type, rotations: dict[int, int]):
     return by_slices(work, 1024)
 
 
-def _visits(p: Polytopes):
+def _visits():
     """(bucket, cls) for every bucket that a vector visits, once each."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -137,7 +174,7 @@ def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least
 
 
-def _meetings(p: Polytopes, kind: type, cosine: float):
+def _meetings(kind: type, cosine: float, shapes: dict[int, tuple[Polytopes, int]]):
     """(cls, links, root) of the vectors with links in a block: a bucket's slice, or two of them.
 
     `root` is the least vector of the block that it is connected with.
@@ -150,7 +187,8 @@ def _meetings(p: Polytopes, kind: type, cosine: float):
             return None
         cls, copies = rows.column("cls").to_numpy(), rows.column("n").to_numpy()
         x = _unit(rows_of(rows.column("raw"), kind))
-        seen = rows_of(rows.column("buckets"), np.int64).reshape(len(rows), p.tables, -1)
+        seen = rows_of(rows.column("buckets"), np.int64)
+        seen = seen.reshape(len(rows), shapes[rows.column("width")[0].as_py()][0].tables, -1)
         same, bucket = left[0] == right[0], rows.column("bucket")[0].as_py()
         pairs_i, pairs_j = [], []
         for at in range(0, len(left), 256):
@@ -202,10 +240,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     classes = kept(classes, "vectors")
     # one row per vector width
     rotations = {r["w"]: p.rotations(r["n"], r["w"]) for r in classes.groupBy(F.size("embedding").alias("w")).agg(F.count("*").alias("n")).collect()}
+    shapes = {w: (p.enough(k, w, cosine), k) for w, k in rotations.items()}
 
     schema = "cls long, n long, width long, raw binary, buckets binary"
-    hashed = kept(classes.select("cls", "n", "embedding").mapInArrow(_bucket_lists(p, kind, rotations), schema), "hashed")
-    visits = kept(hashed.select("cls", "buckets").mapInArrow(_visits(p), "bucket long, cls long"), "visits")
+    hashed = kept(classes.select("cls", "n", "embedding").mapInArrow(_bucket_lists(kind, shapes), schema), "hashed")
+    visits = kept(hashed.select("cls", "buckets").mapInArrow(_visits(), "bucket long, cls long"), "visits")
     crowded = visits.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     crowded = crowded.select("bucket", F.ceil(F.col("size") / p.slice_rows).cast("int").alias("slices"))
     met = visits.join(crowded, "bucket").withColumn("slice", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int"))
@@ -213,7 +252,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     met = met.select("bucket", "cls", "slice", F.least("slice", "other").alias("block_a"), F.greatest("slice", "other").alias("block_b"))
     met = met.join(hashed, "cls")
     blocks = met.repartition("bucket", "width", "block_a", "block_b").sortWithinPartitions("bucket", "width", "block_a", "block_b", "cls")
-    found = kept(blocks.mapInArrow(_meetings(p, kind, cosine), "cls long, links long, root long"), "links")
+    found = kept(blocks.mapInArrow(_meetings(kind, cosine, shapes), "cls long, links long, root long"), "links")
 
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     reach = connected_components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))

@@ -164,7 +164,7 @@ def pairs_at(cosine, pairs, width, seed):
 
 def test_pairs_that_meet_in_any_bucket_are_linked(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup.Polytopes, "rotations", lambda self, vectors, width: 4)
-    p, x = embedding_dedup.Polytopes(tables=2), pairs_at(0.951, 400, 64, 5)
+    p, x = embedding_dedup.Polytopes(tables=2, recall=0.5), pairs_at(0.951, 400, 64, 5)
     seen = embedding_dedup.buckets(x.astype(float), p, 4).reshape(400, 2, -1)
     met = {2 * k + side for k, (a, b) in enumerate(seen) if np.intersect1d(a, b).size for side in (0, 1)}
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
@@ -173,6 +173,27 @@ def test_pairs_that_meet_in_any_bucket_are_linked(spark, monkeypatch):
     assert all(r["n_links"] <= 1 for r in got)
 
 
+@pytest.mark.parametrize("rotations", [3, 4, 5])
+def test_recall_of_more_rotations(spark, monkeypatch, rotations):
+    monkeypatch.setattr(embedding_dedup.Polytopes, "rotations", lambda self, vectors, width: rotations)
+    x = pairs_at(0.9501, 1000, 64, rotations)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    a = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = int(np.triu(a @ a.T >= 0.95, 1).sum())
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert want == 1000 and 0.98 * want <= sum(r["n_links"] for r in got) / 2 <= want
+
+
+@pytest.mark.parametrize("width", [24, 128])
+def test_tables_reach_the_recall_at_every_size(width):
+    x = pairs_at(0.9501, 1000, width, width).astype(float)
+    for vectors in (10**4, 10**7, 10**9):
+        k = embedding_dedup.Polytopes().rotations(vectors, width)
+        p = embedding_dedup.Polytopes().enough(k, width, 0.95)
+        seen = embedding_dedup.buckets(x, p, k).reshape(1000, 2, -1)
+        assert np.mean([np.intersect1d(a, b).size > 0 for a, b in seen]) >= 0.98, (vectors, k, p.tables)
+
+
 def test_embeddings_without_ids_and_without_rows(spark):
     schema = "vec_id long, embedding array<float>"
     rows = spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [0.0, 1.0]), (None, None)], schema)
