@@ -1,8 +1,8 @@
 """Training, comparison, search and explanation on the derived survey.
 
 Fitted models have no SQL counterpart, so most of these are checked for rows here
-and for their properties in the tests. Folds and grids are smaller than the
-defaults of the functions; the tables are whole.
+and for their properties in the tests. Folds, grids, trees and columns are the
+defaults of the functions, and the tables are whole.
 """
 
 from __future__ import annotations
@@ -74,37 +74,35 @@ def chance_model(spark, folder):
 
 @query("M1 M3 M4 M5 M6 M11 T2 T3 U1 A4")
 def model_comparison(spark, folder):
-    """Mean and deviation of each metric for six models over three folds."""
+    """Mean and deviation of each metric for six models over the folds."""
     table, columns = design(spark, folder)
-    folds = md.prepared_folds(table, ft.KEY, ft.LABEL, columns, 3)
-    return tr.compare_models(tr.out_of_fold(folds, tr.model_set(boost_rounds=10, trees=20)))["summary"]
+    folds = md.prepared_folds(table, ft.KEY, ft.LABEL, columns)
+    return tr.compare_models(tr.out_of_fold(folds, tr.model_set()))["summary"]
 
 
 @query("M12 E4 E5")
 def multi_metric_folds(spark, folder):
     table, columns = design(spark, folder)
-    return tr.cross_validate(md.prepared_folds(table, ft.KEY, ft.LABEL, columns, 3, scale=True), _tuned)
+    return tr.cross_validate(md.prepared_folds(table, ft.KEY, ft.LABEL, columns, scale=True), _tuned)
 
 
 @query("M2 D3")
 def chosen_penalty(spark, folder):
     table, columns = design(spark, folder)
-    fitted = tr.choose_c(table.where("not is_test"), columns, folds=3)
+    fitted = tr.choose_c(table.where("not is_test"), columns)
     return tr.chosen_c_table(spark, fitted, cb.CHOSEN_C_VALUES)
 
 
 @query("M9 E3")
 def logistic_search(spark, folder):
     table, columns = design(spark, folder)
-    grid = {"l1_share": [0.0, 1.0], "C": [0.01, 0.1, 1.0], "class_weight": [(0.5, 0.5), (0.2, 0.8), "balanced"]}
-    return tr.search_logistic(table.where("not is_test"), columns, 3, grid)
+    return tr.search_logistic(table.where("not is_test"), columns)
 
 
 @query("M10 E5")
 def forest_search(spark, folder):
     table, columns = design(spark, folder)
-    grid = {"max_depth": [2, 4], "min_leaf": [1, 3], "trees": [1, 11]}
-    return tr.search_forest(table.where("not is_test"), columns, 3, grid)
+    return tr.search_forest(table.where("not is_test"), columns)
 
 
 @query("M13 P9 E8")
@@ -259,5 +257,5 @@ def feature_elimination(spark, folder):
 @query("X7 E11 P2")
 def feature_elimination_folds(spark, folder):
     table, columns = design(spark, folder)
-    sizes, _ = ex.eliminate_with_folds(table, ft.KEY, ft.LABEL, columns[:10], _tuned, folds=3)
+    sizes, _ = ex.eliminate_with_folds(table, ft.KEY, ft.LABEL, columns, _tuned)
     return sizes

@@ -108,10 +108,12 @@ def one_hot(column: str, values: Sequence, drop_first: bool = True) -> dict[str,
 
 
 def require_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
+    """Sorted distinct values of every column, however many: each is to become a column."""
     found = levels(df, columns)
-    wide = [c for c in columns if c not in found]
-    if wide:
-        raise ValueError(f"more than {MAX_LEVELS} categories in: {', '.join(wide)}")
+    for c in columns:
+        if c not in found:
+            values = df.select(F.col(c).alias("value")).where("value is not null").distinct()
+            found[c] = sorted(r["value"] for r in values.collect())
     return found
 
 

@@ -6,7 +6,9 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
@@ -52,15 +54,24 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _fits(estimators: Sequence, train: DataFrame, parallelism: int = 4) -> list:
+    """The fitted models in order; a few fits at a time fill the cluster between their passes."""
+    fit = inheritable_thread_target(train.sparkSession)(lambda estimator: estimator.fit(train))
+    with ThreadPool(parallelism) as pool:
+        return pool.map(fit, estimators, chunksize=1)
+
+
 def out_of_fold(folds: Sequence[md.Fold], makers: Mapping[str, Maker | None]) -> DataFrame:
     """(model, fold, id, y, prediction, score) of every model on every fold."""
     parts = []
     for fold in folds:
-        for name, maker in makers.items():
-            if maker is None:
+        fitted = [name for name, maker in makers.items() if maker is not None]
+        models = dict(zip(fitted, _fits([makers[name](fold.train_rows) for name in fitted], fold.train)))
+        for name in makers:
+            if name not in models:
                 scored = md.chance_predictions(fold.test, KEY, LABEL, md.positive_prior(fold.train, LABEL))
             else:
-                scored = md.predictions(maker(fold.train_rows).fit(fold.train), fold.test, KEY, LABEL).drop("score_0")
+                scored = md.predictions(models[name], fold.test, KEY, LABEL).drop("score_0")
             parts.append(scored.select(F.lit(name).alias("model"), F.lit(fold.number).alias("fold"), "*"))
     return cut(_union(parts))
 
@@ -150,11 +161,11 @@ def search_forest(table: DataFrame, columns: Sequence[str], folds: int = cb.FOLD
 
 def _scored_candidates(fold: md.Fold, candidates: Sequence[tuple[str, object]]) -> DataFrame:
     """Outcome counts of all candidates on a fold, tallied in a single job."""
+    models = _fits([estimator for _, estimator in candidates], fold.train)
     scored = [
-        estimator.fit(fold.train)
-        .transform(fold.test)
+        model.transform(fold.test)
         .select(F.lit(name).alias("candidate"), F.lit(fold.number).alias("fold"), F.col(LABEL).alias("y"), "prediction")
-        for name, estimator in candidates
+        for (name, _), model in zip(candidates, models)
     ]
     return cut(mt.outcome_counts(_union(scored), ["candidate", "fold"]))
 
