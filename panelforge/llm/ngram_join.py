@@ -311,7 +311,11 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p
     (their component is null). Rows with equal sets are linked. Repeated ids are rows of
     their own. Sets and classes are compared by 64-bit hashes.
     """
-    docs = texts(df, key, text)
+    return _grouped(texts(df, key, text), p).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, p: JaccardJoin) -> DataFrame:
+    """(doc_id, n_shingles, cls, component_id, first): `first` is the class of the component's least row."""
     heavy = heavy_tokens(docs, p)
     rows = kept(docs.mapInArrow(_prefixes(p, heavy), PREFIXES), "prefixes")
     named = rows.filter(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
@@ -335,29 +339,49 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p
 
     reach = connected_components(links).withColumnRenamed("node", "cls")
     joined = classes.join(reach, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    result = joined.join(names, "component").select("cls", "component_id")
+    names = joined.groupBy("component").agg(F.min(F.struct("least", "cls")).alias("name"))
+    result = joined.join(names, "component").select("cls", F.col("name.least").alias("component_id"), F.col("name.cls").alias("first"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(result, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.select("doc_id", "n_shingles", "cls", component.alias("component_id"), "first")
+
+
+def _class_of(p: JaccardJoin):
+    """The class of a text as a column function; null without words."""
+
+    @F.arrow_udf("long")
+    def classes(column: pa.Array) -> pa.Array:
+        found = [None] * len(column)
+        for at in range(0, len(column), 256):
+            for row, grams in _sets(pa.RecordBatch.from_arrays([column.slice(at, 256)], names=["text"]), p):
+                found[at + row] = _class(grams)
+        return pa.array(found, pa.int64())
+
+    return classes
 
 
 def first_of_groups(df: DataFrame, key: str = "doc_id", text: str = "text", p: JaccardJoin = JaccardJoin()) -> DataFrame:
     """The rows of `df` that are the first of their component; its columns stay as they are.
 
-    Rows without an id stay, and of rows that repeat an id one stays. A Bloom filter of the
-    ids that go keeps the other rows, with their texts, out of the exact join.
+    Rows without an id or without words stay. A repeated id is no link: rows are told apart
+    by id and class, and of the first row's exact repetitions one stays. A Bloom filter of
+    the ids in question keeps the other rows, with their texts, out of the exact join.
     """
-    found = kept(jaccard_components(df, key, text, p).filter(F.col("doc_id").isNotNull()).select("doc_id", "component_id"), "components")
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    again = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    suspects = kept(gone.unionByName(again).distinct(), "suspects")
+    rows = _grouped(texts(df, key, text), p).filter(F.col("doc_id").isNotNull() & F.col("cls").isNotNull())
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("cls") == F.col("first"))
+    found = kept(rows.select("doc_id", "cls", stays.alias("stays")), "components")
+    gone = found.filter(~F.col("stays")).select("doc_id", "cls")
+    again = found.filter("stays").groupBy("doc_id", "cls").count().filter("count > 1")
+    suspects = kept(gone.select("doc_id").unionByName(again.select("doc_id")).distinct(), "suspects")
     n = suspects.count()
     if not n:
         return df
     filled, blocks = bloom_blocks(suspects.select(F.col("doc_id").cast("string").alias("key")), n)
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.coalesce(F.col(key).cast("long").cast("string"), F.lit("")).alias("key"))
     clear = bloom_misses(rows, filled, blocks)
-    checked = bloom_hits(rows, filled, blocks).withColumn("doc_id", F.col("key").cast("long"))
-    checked = checked.join(gone.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    checked = bloom_hits(rows, filled, blocks).withColumn("doc_id", F.col("row").getField(key).cast("long"))
+    checked = checked.withColumn("cls", _class_of(p)(F.col("row").getField(text).cast("string")))
+    # rows without an id may look held by the filter; like those without words they are never equal to others
+    alone = F.when(F.col("doc_id").isNull() | F.col("cls").isNull(), F.monotonically_increasing_id())
+    checked = checked.withColumn("alone", alone).join(gone.distinct(), ["doc_id", "cls"], "left_anti").dropDuplicates(["doc_id", "cls", "alone"])
     return clear.select("row.*").unionByName(checked.select("row.*"))

@@ -98,6 +98,17 @@ def test_join_of_odd_rows(documents, no_documents):
     assert ngram_join.first_of_groups(no_documents).count() == 0
 
 
+def test_first_of_groups_by_id_and_text(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", 1)
+    x, y, z = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    near = y + " more"
+    rows = [(5, x), (5, near), (3, y), (7, x), (8, z), (8, "lone words"), (8, None), (8, None), *((100 + k, x) for k in range(200))]
+    rows += [(None, t) for t in (x, x, y, None)]
+    got = ngram_join.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(5, x), (3, y), (8, z), (8, "lone words"), (8, None), (8, None), (None, x), (None, x), (None, y), (None, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_bounds_lose_no_linked_pair():
     p = ngram_join.JaccardJoin()
     for a in range(1, 60):
