@@ -11,6 +11,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +110,13 @@ def sample(docs: DataFrame, p: Kernel) -> DataFrame:
     return ranked.filter(F.col("rank") <= p.sample).select("lang", "doc_id", "text")
 
 
+def landmark_rows(rows: list[tuple[str, bytes]], most: int) -> np.ndarray:
+    """Up to `most` places of each language in the order of a hash of the set, equal sets once."""
+    first = {row: k for k, row in reversed(list(enumerate(rows)))}
+    order = sorted(first, key=lambda row: (row[0], blake2b(row[1], digest_size=8).digest(), row[1]))
+    return np.array([first[row] for _, group in groupby(order, key=lambda row: row[0]) for row in list(group)[:most]])
+
+
 def fit(docs: DataFrame, p: Kernel = Kernel()) -> Model:
     """The landmarks and ridge weights; what reaches the driver is a bit set for each sampled text."""
 
@@ -130,7 +139,7 @@ def fit(docs: DataFrame, p: Kernel = Kernel()) -> Model:
         return Model([], np.zeros((0, 1 << p.bits), np.float32), np.zeros((0, 0)))
     sets = np.unpackbits(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
     place = np.array([languages.index(lang) for lang, _ in rows])
-    marks = np.concatenate([np.flatnonzero(place == k)[: p.landmarks] for k in range(len(languages))])
+    marks = landmark_rows(rows, p.landmarks)
     landmarks = sets[marks]
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks).astype(np.float64))
     keep = values > 1e-6 * values.max()

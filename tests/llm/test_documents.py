@@ -204,6 +204,12 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_landmarks_follow_the_whole_sample(spark):
+    rows = [(k, "ab" if k % 3 else " ".join(f"{chr(97 + (k * j) % 26)}{chr(97 + (k + j * j) % 26)}o" for j in range(40)), "en") for k in range(300)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.landmarks) == len(np.unique(model.landmarks, axis=0)) == langid.Kernel().landmarks
+
+
 def test_language_of_odd_rows(documents, no_documents):
     rows = {r["doc_id"]: r for r in langid.identify(documents).collect()}
     assert [rows[k]["lang_pred"] for k in (5, 6, 7, 11)] == ["und"] * 4 and rows[5]["score"] == 0
