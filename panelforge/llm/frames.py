@@ -21,11 +21,21 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text", *more: Column)
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again, which cuts its lineage."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`df` written to the shared folder and read again, which cuts its lineage, and its place."""
     place = scratch_path(df.sparkSession, name)
     df.write.parquet(place)
-    return df.sparkSession.read.parquet(place)
+    return df.sparkSession.read.parquet(place), place
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    return written(df, name)[0]
+
+
+def discard(spark: SparkSession, place: str) -> None:
+    """Remove a table that `written` made and that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(key: str = "doc_id") -> Column:

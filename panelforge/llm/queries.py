@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelforge.llm import byte_bpe, embedding_dedup, langid, ngram_join, packing, pii, quality, sql, token_counts, toxicity, url_filter
+from panelforge.llm import byte_bpe, code_compression, embedding_dedup, langid, ngram_join, packing, pii, quality, sql, token_alignment, token_counts, topk_search, toxicity, url_filter
 from panelforge.llm.frames import read
 
 
@@ -58,6 +58,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(read(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.product_codes(read(spark, sf_dir, "embeddings"))
+
+
+def op13_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_products(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +83,9 @@ QUERIES = {
         op8_best_fit_packing,
         op9_embedding_duplicates,
         op10_language,
+        op11_token_alignment,
+        op12_vector_codes,
+        op13_top_products,
     )
 }
 
@@ -79,4 +94,6 @@ QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {
     "op2_quality_rules": sql.quality_rules(),
     "op7_url_rules": sql.url_rules(),
+    "op12_vector_codes": sql.vector_codes(),
+    "op13_top_products": sql.top_products(),
 }

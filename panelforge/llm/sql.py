@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from panelforge.llm import quality as q
 from panelforge.llm import url_filter
+from panelforge.llm.code_compression import Codebooks
+from panelforge.llm.topk_search import Voronoi
 
 #: White space in a character class of DuckDB's patterns.
 BLANK = r"\x20\x09-\x0D"
@@ -63,3 +65,43 @@ fit AS (SELECT p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path
   GROUP BY p.host, p.path)
 SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fit USING (host, path)
 """
+
+
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def vector_codes() -> str:
+    p = Codebooks()
+    distance = "list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+    steps = []
+    for turn in range(p.rounds + 1):
+        steps.append(f"""a{turn} AS MATERIALIZED (SELECT id, vec_id, part, v, min({p.entries} * {distance} + entry) AS best
+  FROM pieces JOIN book{turn} USING (part) GROUP BY id, vec_id, part, v)""")
+        if turn < p.rounds:
+            steps.append(f"""mean{turn + 1} AS (SELECT part, entry, list(floor(total / n)::BIGINT ORDER BY i) AS c FROM (
+  SELECT part, best % {p.entries} AS entry, i, sum(v[i]) AS total, count(*)::DOUBLE AS n FROM a{turn}, (SELECT unnest(range(1, 4097)) AS i) WHERE i <= len(v) GROUP BY ALL) GROUP BY part, entry),
+book{turn + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c FROM book{turn} b LEFT JOIN mean{turn + 1} m USING (part, entry))""")
+    last = p.rounds
+    return f"""
+WITH x AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label,
+  list_transform(embedding, lambda x: floor({p.scale} * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE {FINITE}),
+pieces AS MATERIALIZED (SELECT id, vec_id, part, e[part * len(e) // {p.parts} + 1:(part + 1) * len(e) // {p.parts}] AS v
+  FROM x, (SELECT unnest(range(0, {p.parts})) AS part)),
+book0 AS (SELECT part, id - 1 AS entry, v AS c FROM pieces WHERE id <= {p.entries}),
+{", ".join(steps)},
+coded AS (SELECT id, string_agg(printf('%02x', (best % {p.entries})::INT), '' ORDER BY part) AS code, sum(best // {p.entries})::BIGINT AS error FROM a{last} GROUP BY id),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{last})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN x USING (id), digest
+"""
+
+
+def top_products() -> str:
+    p = Voronoi()
+    return f"""
+WITH x AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id,
+  list_transform(embedding, lambda x: floor({p.scale} * x::DOUBLE)) AS e FROM embeddings WHERE {FINITE}),
+pairs AS (SELECT q.id, q.vec_id AS query_id, c.id AS other, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM x q JOIN x c ON q.id <> c.id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id, other)::INT AS rank FROM pairs) WHERE rank <= {p.k}
+"""
