@@ -27,22 +27,31 @@ def address(template: str, *parts) -> Column:
     return F.format_string(template, *[as_column(p).cast("string") for p in parts])
 
 
-@F.pandas_udf(T.StringType())
-def _all_references(texts: pd.Series) -> pd.Series:
-    return texts.map(markup.unescape, na_action="ignore")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _all_references(rows: pd.Series) -> pd.Series:
+    return rows.map(lambda texts: [t if t is None else markup.unescape(t) for t in texts], na_action="ignore")
 
 
-def unescaped(column) -> Column:
-    """Undo character references.
+def _own_references(text: Column) -> Column:
+    """Undo the five references that markup itself needs."""
+    for reference, character in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(reference), F.lit(character))
+    return text
+
+
+def unescaped_all(column) -> Column:
+    """Undo the character references in a list of texts.
 
-    The five that markup itself needs are built-in replacements; only texts with any
+    The five that markup itself needs are built-in replacements; only lists with any
     other reference go through Python's table of them.
     """
-    text = plain = as_column(column)
-    for reference, character in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(reference), F.lit(character))
-    other = text.rlike("&(?!(quot|#39|lt|gt|amp);)[#A-Za-z]")
-    return F.coalesce(_all_references(F.when(other, text)), plain)
+    texts = as_column(column)
+    other = F.exists(texts, lambda t: F.coalesce(t.rlike("&(?!(quot|#39|lt|gt|amp);)[#A-Za-z]"), F.lit(False)))
+    return F.coalesce(_all_references(F.when(other, texts)), F.transform(texts, _own_references))
+
+
+def unescaped(column) -> Column:
+    return unescaped_all(F.array(as_column(column)))[0]
 
 
 def without_tags(column) -> Column:

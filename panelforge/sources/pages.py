@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelforge.functions import codebook as cb
 from panelforge.functions.recode import default_text, labelled, whole_number
-from panelforge.functions.text import address, link_words, number_after, unescaped, without_tags, word_at, words_between
+from panelforge.functions.text import address, link_words, number_after, unescaped_all, without_tags, word_at, words_between
 from panelforge.operators.columns import drop_columns, reordered
 from panelforge.operators.filters import answered, filled, one_of
 
@@ -83,12 +83,6 @@ def profile_blocks(pages: DataFrame) -> DataFrame:
     return blocks.where(F.col("position") > 0)
 
 
-def profile(block="block") -> Column:
-    """The attributes object of a block; null when it is not valid."""
-    attribute = F.regexp_extract(block, 'data-react-props="([^"]*)"', 1)
-    return F.from_json(unescaped(attribute), PROFILE_SCHEMA)
-
-
 def latest_evaluation(block="block") -> Column:
     """What follows the first date heading, up to the next one."""
     return F.regexp_replace(word_at(block, 1, "<h3"), r"(?s)^.*?</h3>", "")
@@ -111,65 +105,71 @@ def _whole_element(texts: pd.Series) -> pd.Series:
 _nested = F.pandas_udf(_whole_element, T.StringType())
 
 
-def headed_field(section, label: str) -> Column:
-    """Third text line of the element after a heading; null when there is none.
+def _headed(section, label: str, ending: str) -> Column:
+    """What follows the start of the element after a heading, up to `ending`."""
+    return F.regexp_extract(section, rf"(?s)<span[^>]*>{label}</span>\s*</div>\s*<div[^>]*>{ending}", 1)
 
-    Only an element with another one of its kind inside is read by Python.
-    """
-    opening = rf"(?s)<span[^>]*>{label}</span>\s*</div>\s*<div[^>]*>"
-    found = F.regexp_extract(section, rf"{opening}(.*?)</div>", 1)
-    whole = _nested(F.when(found.rlike(r"<div\b"), F.regexp_extract(section, rf"{opening}(.*)", 1)))
-    return word_at(without_tags(F.coalesce(whole, found)), 2, "\n")
 
+def _paragraph(block, label: str) -> Column:
+    """Markup of the paragraph that a bold label opens; empty when there is none."""
+    return F.regexp_extract(block, rf"(?s)<p[^>]*>([^<]*<strong[^>]*>{label}</strong>.*?)</p>".replace("&", "&amp;"), 1)
 
-def labelled_paragraph(block, label: str) -> Column:
-    """Text of the paragraph that a bold label opens; empty when there is none."""
-    pattern = rf"(?s)<p[^>]*>([^<]*<strong[^>]*>{label}</strong>.*?)</p>"
-    return unescaped(without_tags(F.regexp_extract(block, pattern.replace("&", "&amp;"), 1)))
+
+def _once(df: DataFrame, columns: dict[str, Column], keep: Column | None = None) -> DataFrame:
+    """The given columns of the rows that pass a test, each worked out once.
+
+    Filters, and projections that read a column twice, would move below a projection or
+    merge with it and extract everything again; a list of one row or none holds them off.
+    """
+    row = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select(F.inline(row if keep is None else F.when(keep, row)))
 
 
-def _records(pages: DataFrame, drug: Column) -> DataFrame:
+def _records(pages: DataFrame, drug: Column, block: bool = False) -> DataFrame:
     """Blocks with every field and a mark for those that have the required parts.
 
-    Each step is a projection whose results the next one uses more than once, so
-    none of the costly extractions is repeated.
+    Each step is worked out once and read several times by the next one. Python sees the
+    elements with another one of their kind inside, and the texts with rare references.
     """
+    own = ["page_id", "position", "drug_name"]
+    same = lambda *names: {n: F.col(n) for n in names}
+    kept = [*own, *(["block"] if block else [])]
     blocks = profile_blocks(pages.withColumn("drug_name", drug))
-    parts = blocks.withColumns(
+    parts = _once(
+        blocks,
         {
-            "__profile": profile(),
+            **same(*kept),
+            "__props": F.regexp_extract("block", 'data-react-props="([^"]*)"', 1),
             "__section": latest_evaluation(),
-            **{f"__{name}": labelled_paragraph("block", label) for name, label in cb.OPTIONAL_FIELDS.items()},
-        }
+            **{name: without_tags(_paragraph("block", label)) for name, label in cb.OPTIONAL_FIELDS.items()},
+        },
     )
-    texts = parts.withColumns(
+    short = {name: _headed("__section", label, "(.*?)</div>") for name, label in cb.HEADED_FIELDS.items()}
+    found = _once(parts, {**same(*kept, "__props", "__section", *cb.OPTIONAL_FIELDS), **short})
+    inner = {
+        f"__whole_{name}": F.when(F.col(name).rlike(r"<div\b"), _headed("__section", label, "(.*)")) for name, label in cb.HEADED_FIELDS.items()
+    }
+    found = _once(found, {**same(*kept, "__props", *cb.OPTIONAL_FIELDS, *cb.HEADED_FIELDS), **inner})
+    headed = [word_at(without_tags(F.coalesce(_nested(f"__whole_{n}"), F.col(n))), 2, "\n") for n in cb.HEADED_FIELDS]
+    texts = found.select(*kept, F.array("__props", *headed, *cb.OPTIONAL_FIELDS).alias("__texts"))
+    texts = _once(texts, same(*kept, "__texts")).select(*kept, unescaped_all("__texts").alias("__texts"))
+    plain = {name: F.col("__texts")[i] for i, name in enumerate(["__props", *cb.HEADED_FIELDS, *cb.OPTIONAL_FIELDS])}
+    values = _once(
+        texts,
         {
-            **{field: F.col(f"__profile.{name}") for name, field in cb.PROFILE_FIELDS.items()},
-            **{f"__{name}": unescaped(headed_field("__section", label)) for name, label in cb.HEADED_FIELDS.items()},
-            "__dosage": words_between("__dosage", 2, 4),
-            "__advice": F.lower(word_at("__advice", 2, "\n")),
-            "__cost": word_at("__cost", 2, "\n"),
-        }
-    )
-    fields = texts.withColumns(
-        {
-            **{name: F.nullif(F.col(f"__{name}"), F.lit("")) for name in cb.HEADED_FIELDS},
-            **{name: default_text(f"__{name}", cb.NOT_GIVEN) for name in cb.OPTIONAL_FIELDS},
-        }
+            **same(*kept),
+            "__profile": F.from_json(plain["__props"], PROFILE_SCHEMA),
+            **{name: F.nullif(plain[name], F.lit("")) for name in cb.HEADED_FIELDS},
+            "dosage": default_text(words_between(plain["dosage"], 2, 4), cb.NOT_GIVEN),
+            "advice": default_text(F.lower(word_at(plain["advice"], 2, "\n")), cb.NOT_GIVEN),
+            "cost": default_text(word_at(plain["cost"], 2, "\n"), cb.NOT_GIVEN),
+        },
     )
+    fields = values.select("*", *[F.col(f"__profile.{name}").alias(field) for name, field in cb.PROFILE_FIELDS.items()])
     required = ["__profile", "username", *cb.HEADED_FIELDS]
     return fields.withColumn("__whole", F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in required)))
 
 
-def _only(df: DataFrame, keep: Column, names: list[str]) -> DataFrame:
-    """Rows that pass a test on costly columns.
-
-    A plain filter would move below the projection and extract everything twice;
-    a list of one row or none stays above it.
-    """
-    return df.select(F.inline(F.when(keep, F.array(F.struct(*names)))))
-
-
 def drug_of_url(url="url") -> Column:
     return F.regexp_extract(url, r"/browse/([^/?#]+)\?", 1)
 
@@ -181,12 +181,13 @@ def parse_reviews(pages: DataFrame, drug: Column | None = None, personal: bool =
     """
     drug = drug_of_url() if drug is None else drug
     fields = [c for c in cb.REVIEW_RAW if personal or c not in ("username", "profile_bio")]
-    return _only(_records(pages, drug), F.col("__whole"), ["page_id", "position", *fields])
+    return _once(_records(pages, drug), {n: F.col(n) for n in ("page_id", "position", *fields)}, F.col("__whole"))
 
 
 def parse_rejects(pages: DataFrame) -> DataFrame:
     """Blocks that miss a required part, for inspection; the run goes on without them."""
-    return _only(_records(pages, drug_of_url()), ~F.col("__whole"), ["page_id", "position", "drug_name", "block"])
+    rejected = {n: F.col(n) for n in ("page_id", "position", "drug_name", "block")}
+    return _once(_records(pages, drug_of_url(), block=True), rejected, ~F.col("__whole"))
 
 
 def flat_conditions(reviews: DataFrame) -> DataFrame:
