@@ -1,11 +1,11 @@
-"""Exact k-nearest-neighbour join.
+"""Exact k-nearest-neighbour join over a tree of boxes.
 
-The donor space is cut into cells at quantiles of its most spread-out dimensions,
-and each cell keeps the bounding box of its donors. Every query is first matched
-inside its own cell, which gives it a radius. Only cells whose box lies within
-that radius are visited afterwards, so the answer is exact and far cells are
-never touched. Work units are (cell, donor slice, query slice) of bounded size:
-a crowded cell becomes more units, not a longer one.
+Donors lie in the leaves of a tree that is split over all dimensions. Every query is first
+matched inside the leaf it falls into, which gives it a radius. Groups of queries of one
+leaf and similar radius then go down the tree, from the coarsest boxes to the leaves, and
+only leaves within a group's radius are visited, so the answer is exact and far leaves are
+never touched. Work units are (query group, leaf, donor slice) of bounded size; inside a
+unit a matrix product finds the pairs that can count, and only these are computed exactly.
 
 Distance is the mean squared difference over the dimensions present on both rows
 times the number of dimensions, in the usual form for data with gaps. Ties go to
@@ -15,21 +15,15 @@ the lower key.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from panelforge.operators import box_tree
 from panelforge.session import cut
 
-DONORS_PER_UNIT = 4096
-QUERIES_PER_UNIT = 4096
-# Up to this many slices of donors, looking at all of them is cheaper than finding
-# out which ones to leave out.
-SLICES_WITHOUT_CELLS = 8
-MAX_CELLS = 16384
-CELL_DIMENSIONS = 6
+ROWS_PER_UNIT = 4096
 MATRIX_VALUES = 4_000_000
 
 
@@ -50,50 +44,11 @@ def first_per_vector(df: DataFrame, vector: str, key: str, k: int) -> DataFrame:
     return df.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= k).drop("__place")
 
 
-def _cell_cuts(donors: DataFrame, dims: Sequence[str], cells: int) -> dict[str, list[float]]:
-    """Quantile cuts for about `cells` cells, on the dimensions that separate donors best.
-
-    A flag takes one cut at most, however far apart its two values are, so the
-    dimensions with the most distinct quantiles come first.
-    """
-    if cells <= 1:
-        return {}
-    eighths = donors.approxQuantile(list(dims), [i / 8 for i in range(9)], 0.01)
-    spread = {d: (len(set(q)), max(q) - min(q)) for d, q in zip(dims, eighths) if len(set(q)) > 1}
-    chosen = sorted(spread, key=spread.get, reverse=True)[: min(CELL_DIMENSIONS, max(1, int(np.log2(cells))))]
-    if not chosen:
-        return {}
-    per_dimension = max(2, int(round(cells ** (1 / len(chosen)))))
-    while (per_dimension + 1) ** len(chosen) > MAX_CELLS:
-        per_dimension -= 1
-    shares = [i / per_dimension for i in range(1, per_dimension)]
-    cuts = donors.approxQuantile(chosen, shares, 0.01)
-    return {d: sorted(set(c)) for d, c in zip(chosen, cuts) if c}
-
-
-def _cell_of(cuts: dict[str, list[float]]):
-    """Cell number by mixed radix; a gap has a place of its own."""
-    cell = F.lit(0)
-    for d, marks in cuts.items():
-        place = F.lit(0)
-        for m in marks:
-            place = place + (F.col(d) > F.lit(m)).cast("int")
-        cell = cell * (len(marks) + 2) + F.when(F.col(d).isNull(), len(marks) + 1).otherwise(place)
-    return cell.cast("long")
-
-
-def _distances(queries: np.ndarray, donors: np.ndarray, total: int) -> np.ndarray:
-    """Squared distances; infinite where no dimension is present on both sides."""
-    if not (np.isnan(queries).any() or np.isnan(donors).any()):
-        out = np.zeros((len(queries), len(donors)))
-        for j in range(queries.shape[1]):
-            gap = queries[:, j, None] - donors[None, :, j]
-            out += gap * gap
-        return out * (total / queries.shape[1])
-    out = np.zeros((len(queries), len(donors)))
-    shared = np.zeros((len(queries), len(donors)))
-    for j in range(queries.shape[1]):
-        gap = queries[:, j, None] - donors[None, :, j]
+def _distances(a: np.ndarray, b: np.ndarray, total: int) -> np.ndarray:
+    """Squared distances of paired rows; infinite where no dimension is present on both."""
+    out, shared = np.zeros(len(a)), np.zeros(len(a))
+    for j in range(a.shape[1]):
+        gap = a[:, j] - b[:, j]
         here = ~np.isnan(gap)
         out += np.where(here, gap * gap, 0.0)
         shared += here
@@ -101,105 +56,83 @@ def _distances(queries: np.ndarray, donors: np.ndarray, total: int) -> np.ndarra
         return np.where(shared > 0, out * (total / shared), np.inf)
 
 
+def _rough_distances(queries: np.ndarray, donors: np.ndarray, total: int) -> tuple[np.ndarray, float]:
+    """Squared distances of all pairs by matrix products, and how far they may be off."""
+    centre = np.nan_to_num(np.nanmean(np.vstack([donors, np.zeros((1, donors.shape[1]))]), axis=0))
+    q, d = queries - centre, donors - centre
+    has_q, has_d = ~np.isnan(q), ~np.isnan(d)
+    q, d = np.where(has_q, q, 0.0), np.where(has_d, d, 0.0)
+    shared = has_q.astype(float) @ has_d.T.astype(float)
+    sums = (q * q) @ has_d.T - 2 * (q @ d.T) + has_q @ (d * d).T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rough = np.where(shared > 0, np.maximum(sums, 0.0) * (total / shared), np.inf)
+    return rough, 1e-10 * total * ((q * q).sum(axis=1).max() + (d * d).sum(axis=1).max())
+
+
+def _reachable(queries: np.ndarray, radius: np.ndarray, donors: np.ndarray, total: int) -> np.ndarray:
+    """Queries whose radius meets the box of the donors; a dimension counts if all donors have it."""
+    full = ~np.isnan(donors).any(axis=0)
+    gap = np.fmax(np.fmax(donors[:, full].min(axis=0) - queries[:, full], queries[:, full] - donors[:, full].max(axis=0)), 0.0)
+    bound = np.nansum(gap * gap, axis=1) * (total / np.maximum((~np.isnan(queries)).sum(axis=1), 1))
+    return bound * (1 - 1e-9) <= radius
+
+
 def _nearest(queries: pd.DataFrame, donors: pd.DataFrame, k: int, total: int, names: Sequence[str]) -> pd.DataFrame:
     """The k nearest donors of each query within one work unit."""
-    if queries.empty or donors.empty:
-        return pd.DataFrame({n: [] for n in names})
-    donors = donors.sort_values("donor", kind="stable")
-    points = np.stack(donors["vec"].to_numpy()).astype(float)
-    targets = np.stack(queries["vec"].to_numpy()).astype(float)
-    step = max(1, MATRIX_VALUES // len(points))
     parts = []
-    for start in range(0, len(targets), step):
-        distance = _distances(targets[start : start + step], points, total)
-        bound = np.partition(distance, k - 1, axis=1)[:, k - 1] if len(points) > k else np.full(len(distance), np.inf)
-        rows, columns = np.nonzero((distance <= bound[:, None]) & np.isfinite(distance))
-        found = distance[rows, columns]
-        order = np.lexsort((columns, found, rows))
-        rows, columns, found = rows[order], columns[order], found[order]
-        first = np.searchsorted(rows, rows, side="left")
-        keep = np.arange(len(rows)) - first < k
-        rows, columns, found = rows[keep], columns[keep], found[keep]
-        picked = donors.iloc[columns]
-        parts.append(
-            pd.DataFrame(
-                {
-                    "query": queries["query"].to_numpy()[start + rows],
-                    "donor": picked["donor"].to_numpy(),
-                    "distance": found,
-                    "payload": picked["payload"].to_numpy(),
-                }
-            )
-        )
-    return pd.concat(parts)[list(names)]
-
-
-def _cells_within(batches, cells, low, high, full, total, radius: bool):
-    """For each query: its nearest cell, or every other cell inside its radius."""
-    for batch in batches:
-        if batch.empty:
-            continue
-        parts = []
-        vectors = np.stack(batch["vec"].to_numpy()).astype(float)
-        step = max(1, MATRIX_VALUES // max(1, low.size))
-        for start in range(0, len(vectors), step):
-            v = vectors[start : start + step]
-            present = ~np.isnan(v)
-            # A dimension counts towards the bound only if all donors of the cell have it.
-            gap = np.maximum(np.maximum(low[None] - v[:, None], v[:, None] - high[None]), 0.0)
-            gap = np.where(full[None] & present[:, None], gap, 0.0)
-            width = np.maximum(present.sum(axis=1), 1)[:, None]
-            bound = (gap * gap).sum(axis=2) * (total / width)
-            piece = batch.iloc[start : start + step]
-            if radius:
-                # Rounding must never hide a cell that holds an equally near donor.
-                near = bound * (1 - 1e-9) <= piece["radius"].to_numpy()[:, None]
-                near &= cells[None] != piece["cell"].to_numpy()[:, None]
-            else:
-                near = np.zeros(bound.shape, bool)
-                near[np.arange(len(v)), bound.argmin(axis=1)] = True
-            rows, columns = np.nonzero(near)
+    if not queries.empty and not donors.empty:
+        donors = donors.sort_values("donor", kind="stable")
+        points = np.stack(donors["vec"].to_numpy()).astype(float)
+        targets = np.stack(queries["vec"].to_numpy()).astype(float)
+        asked = np.flatnonzero(_reachable(targets, queries["radius"].to_numpy(), points, total))
+        step = max(1, MATRIX_VALUES // len(points))
+        for start in range(0, len(asked), step):
+            some = asked[start : start + step]
+            rough, off = _rough_distances(targets[some], points, total)
+            bound = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * off if len(points) > k else np.full(len(some), np.inf)
+            rows, columns = np.nonzero((rough <= bound[:, None]) & np.isfinite(rough))
+            found = _distances(targets[some[rows]], points[columns], total)
+            order = np.lexsort((columns, found, rows))
+            rows, columns, found = rows[order], columns[order], found[order]
+            keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+            rows, columns, found = rows[keep], columns[keep], found[keep]
+            picked = donors.iloc[columns]
             parts.append(
                 pd.DataFrame(
                     {
-                        "query": piece["query"].to_numpy()[rows],
-                        "vec": piece["vec"].to_numpy()[rows],
-                        "cell": cells[columns],
+                        "query": queries["query"].to_numpy()[some[rows]],
+                        "donor": picked["donor"].to_numpy(),
+                        "distance": found,
+                        "payload": picked["payload"].to_numpy(),
                     }
                 )
             )
-        yield pd.concat(parts)
+    return pd.concat(parts)[list(names)] if parts else pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
 
 
-def _with_parts(queries: DataFrame, donors: DataFrame, donor_parts: DataFrame, unit: int) -> tuple[DataFrame, DataFrame]:
-    """Add to both sides into how many slices the cell's queries and donors are cut."""
-    sizes = queries.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / unit).cast("int").alias("query_parts")
-    ).join(donor_parts, "cell")
-    # At most one row per cell, so a crowded cell needs no shuffle by its number.
-    sizes = F.broadcast(sizes)
-    return queries.join(sizes, "cell"), donors.join(sizes, "cell")
+def _sliced(df: DataFrame, node_sizes: DataFrame, key: str, unit: int, out: str) -> DataFrame:
+    """Add a slice number, so that a leaf's rows of one slice are about `unit` at most."""
+    sizes = node_sizes.select("node", F.ceil(F.col("n") / unit).cast("int").alias("__slices"))
+    return df.join(sizes, "node").withColumn(out, F.pmod(F.xxhash64(key), F.col("__slices")).cast("int"))
 
 
-def _match_units(queries: DataFrame, donors: DataFrame, k: int, total: int, schema) -> DataFrame:
-    """Match queries with the donors of their cell in units of bounded size.
+def _match_units(pairs: DataFrame, queries: DataFrame, donors: DataFrame, k: int, total: int, schema) -> DataFrame:
+    """Match the queries of a group with the donors of a leaf, for each of the pairs (group, node).
 
-    Queries are copied to every donor slice of a cell and donors to every query
-    slice, never row by row.
+    Queries are copied to every donor slice of a leaf and donors to every group that
+    visits their leaf, never row by row.
     """
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = queries.withColumn("query_part", F.pmod(F.xxhash64("query"), F.col("query_parts")).cast("int")).select(
-        "query", "vec", "cell", "query_part", copies("donor_parts").alias("donor_part")
-    )
-    right = donors.withColumn("donor_part", F.pmod(F.xxhash64("donor"), F.col("donor_parts")).cast("int")).select(
-        "donor", "vec", "payload", "cell", "donor_part", copies("query_parts").alias("query_part")
-    )
-    unit = ["cell", "donor_part", "query_part"]
     names = schema.fieldNames()
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return _nearest(a, b, k, total, names)
 
+    slices = donors.select("node", "donor_slice").distinct()
+    units = pairs.join(slices, "node")
+    unit = ["group", "node", "donor_slice"]
+    left = units.join(queries.select("group", "query", "vec", "radius"), "group")
+    # Columns of its own for the second side, which the join of both would otherwise confuse.
+    right = units.toDF(*units.columns).join(donors.select("node", "donor_slice", "donor", "vec", "payload"), ["node", "donor_slice"])
     # Units are small to move and costly to work on. With the number given, adaptive
     # execution does not merge them into few tasks by their size.
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -231,7 +164,7 @@ def nearest_join(
     not the result.
     """
     total = total or len(dims)
-    donor_unit, query_unit = unit_rows or DONORS_PER_UNIT, unit_rows or QUERIES_PER_UNIT
+    unit = unit_rows or ROWS_PER_UNIT
     vec = F.array(*[F.col(d).cast("double") for d in dims])
     schema = T.StructType(
         [
@@ -241,51 +174,27 @@ def nearest_join(
             T.StructField("payload", T.ArrayType(T.DoubleType())),
         ]
     )
-    count = donors.count()
-    slices = -(-count // donor_unit)
-    cuts = _cell_cuts(donors, dims, 1 if slices <= SLICES_WITHOUT_CELLS else min(MAX_CELLS, slices))
-    q = queries.select(F.col(query).alias("query"), vec.alias("vec"))
-    d = donors.select(
-        F.col(key).alias("donor"),
-        vec.alias("vec"),
-        F.array(*[F.col(c).cast("double") for c in payload]).alias("payload"),
-        _cell_of(cuts).alias("cell"),
-    )
-    if not cuts:
-        # One cell: nothing to leave out, and its slices already spread the work.
-        parts = {
-            "cell": F.lit(0),
-            "donor_parts": F.lit(max(1, slices)),
-            "query_parts": F.lit(max(1, -(-queries.count() // query_unit))),
-        }
-        return _keep_nearest(_match_units(q.withColumns(parts), d.withColumns(parts), k, total, schema), k)
-
-    boxes = donors.withColumn("cell", _cell_of(cuts)).groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.min(c) for c in dims]).alias("low"),
-        F.array(*[F.max(c) for c in dims]).alias("high"),
-        F.array(*[(F.count(c) == F.count(F.lit(1))) for c in dims]).alias("full"),
-    )
-    # At most MAX_CELLS rows of box summaries come to the driver.
-    summary = boxes.orderBy("cell").collect()
-    cells = np.array([r["cell"] for r in summary], dtype=np.int64)
-    low = np.array([[np.nan if x is None else x for x in r["low"]] for r in summary], float)
-    high = np.array([[np.nan if x is None else x for x in r["high"]] for r in summary], float)
-    full = np.array([r["full"] for r in summary], bool)
-    low, high = np.where(full, low, 0.0), np.where(full, high, 0.0)
-    parts = queries.sparkSession.createDataFrame(
-        [(int(r["cell"]), -(-r["n"] // donor_unit)) for r in summary], "cell long, donor_parts int"
-    )
-    placed = T.StructType([T.StructField("query", schema["query"].dataType),
-                           T.StructField("vec", T.ArrayType(T.DoubleType())),
-                           T.StructField("cell", T.LongType())])
-    choose = partial(_cells_within, cells=cells, low=low, high=high, full=full, total=total)
-    home = cut(q.mapInPandas(partial(choose, radius=False), placed))
-    first = cut(_keep_nearest(_match_units(*_with_parts(home, d, parts, query_unit), k, total, schema), k))
+    paid = F.array(*[F.col(c).cast("double") for c in payload]).alias("payload")
+    tree = box_tree.build(cut(donors.select(F.col(key).alias("donor"), vec.alias("vec"), paid)), len(dims), "donor", unit)
+    d = _sliced(tree.rows, tree.boxes[-1], "donor", unit, "donor_slice")
+    placed = cut(tree.place(queries.select(F.col(query).alias("query"), vec.alias("vec"))))
+    sizes = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    q = _sliced(placed, sizes, "query", unit, "slice").withColumn("group", F.concat_ws("/", "node", "slice"))
+    home = q.withColumn("radius", F.lit(float("inf")))
+    first = _keep_nearest(_match_units(home.select("group", "node").distinct(), home, d, k, total, schema), k)
+    if not tree.splits:
+        return first
+
+    first = cut(first)
     reach = first.groupBy("query").agg(
         F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("radius")
     )
-    ranged = home.join(reach, "query", "left").fillna({"radius": float("inf")})
-    others = cut(ranged.mapInPandas(partial(choose, radius=True), placed))
-    second = _match_units(*_with_parts(others, d, parts, query_unit), k, total, schema)
+    ranged = q.join(reach, "query", "left").fillna({"radius": float("inf")})
+    # Queries of one leaf whose radii are within a factor of four go together.
+    band = F.floor(F.log2(F.greatest("radius", F.lit(1e-30))) / 2)
+    ranged = cut(ranged.withColumn("group", F.concat_ws("/", "group", F.when(F.col("radius") < float("inf"), band))))
+    groups = cut(box_tree.query_groups(ranged, len(dims)))
+    pairs = box_tree.visited(tree, groups, total)
+    pairs = pairs.where(F.col("node") != F.split("group", "/")[0].cast("long"))
+    second = _match_units(pairs, ranged, d, k, total, schema)
     return _keep_nearest(first.select(*schema.fieldNames()).unionByName(second), k)

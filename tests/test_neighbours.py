@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.operators import box_tree as bt
 from panelforge.operators import neighbours as nb
 from panelforge.operators.balance import oversampled
 from panelforge.operators.impute import impute_column, impute_in_order
@@ -38,8 +39,7 @@ def answers(near):
 @pytest.mark.parametrize("gaps", [False, True])
 @pytest.mark.parametrize("per_unit", [10_000, 37])
 def test_nearest_join_is_exact(spark, monkeypatch, gaps, per_unit):
-    monkeypatch.setattr(nb, "DONORS_PER_UNIT", per_unit)
-    monkeypatch.setattr(nb, "QUERIES_PER_UNIT", per_unit)
+    monkeypatch.setattr(nb, "ROWS_PER_UNIT", per_unit)
     rng = np.random.default_rng(3)
     points = rng.integers(0, 12, (420, 3)).astype(float)
     if gaps:
@@ -54,6 +54,61 @@ def test_nearest_join_is_exact(spark, monkeypatch, gaps, per_unit):
     assert got == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("fan", [1, 2])
+def test_nearest_join_over_several_levels(spark, monkeypatch, fan):
+    monkeypatch.setattr(bt, "FAN_BITS", fan)
+    monkeypatch.setattr(bt, "SENT_NODES", 2)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(500, 3)).round(2)
+    points[rng.random(points.shape) < 0.05] = np.nan
+    points[:40] = points[0]
+    queries, donors = {i: points[i] for i in range(0, 500, 9)}, {i: points[i] for i in range(500) if i % 9}
+    q, d = cut(frame(spark, queries, "q")), cut(frame(spark, donors, "d"))
+    got = answers(nb.nearest_join(q, d, DIMS, 3, "q", "d", ["a"], unit_rows=60))
+    assert got == {k: v for k, v in brute(queries, donors, 3, 3).items() if v}
+
+
+def tree_of(spark, points, leaf_rows):
+    rows = cut(spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in x]) for i, x in enumerate(points)], "id long, vec array<double>"))
+    return bt.build(rows, points.shape[1], "id", leaf_rows)
+
+
+def test_boxes_hold_their_rows_and_levels_nest(spark, monkeypatch):
+    monkeypatch.setattr(bt, "FAN_BITS", 2)
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(900, 4))
+    points[rng.random(points.shape) < 0.02] = np.nan
+    tree = tree_of(spark, points, 50)
+    leaf_of = {r["id"]: r["node"] for r in tree.rows.collect()}
+    assert len(tree.boxes) == len(tree.splits) > 1
+    assert max(np.unique(list(leaf_of.values()), return_counts=True)[1]) <= 110
+    for level, boxes in enumerate(tree.boxes):
+        below = 2 * (len(tree.boxes) - 1 - level)
+        found = {r["node"]: r for r in boxes.collect()}
+        assert sum(r["n"] for r in found.values()) == 900
+        for i, x in enumerate(points):
+            box = found[leaf_of[i] >> below]
+            assert box["parent"] == box["node"] >> 2
+            assert all(low is None or low <= v <= high for v, low, high in zip(x, box["low"], box["high"], strict=True))
+
+
+def test_few_leaves_are_visited(spark):
+    rng = np.random.default_rng(7)
+    points = rng.random((4000, 3))
+    tree = tree_of(spark, points, 64)
+    asked = tree.rows.where("id < 400").withColumn("group", F.col("node").cast("string")).withColumn("radius", F.lit(0.03**2))
+    groups = bt.query_groups(asked, 3)
+    pairs, leaves = bt.visited(tree, groups, 3).count(), tree.boxes[-1].count()
+    assert leaves >= 60 and pairs < 0.3 * groups.count() * leaves
+
+
+def test_equal_rows_make_one_leaf(spark):
+    points = np.array([[1.0, 2.0]] * 300 + [[np.nan, 2.0]] * 20 + [[np.nan, np.nan]] * 20)
+    tree = tree_of(spark, points, 50)
+    sizes = sorted(r["n"] for r in tree.boxes[-1].collect())
+    assert sizes == [20, 20, 300]
+
+
 def test_limiting_equal_vectors_changes_nothing(spark):
     rng = np.random.default_rng(4)
     points = rng.integers(0, 3, (300, 3)).astype(float)
