@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from panelforge.llm.frames import Once, held_out
+from panelforge.llm.frames import Once, free_names, held_out
 
 UNKNOWN = "und"
 
@@ -160,6 +160,7 @@ def predict(df: DataFrame, model: Model, p: Kernel = Kernel(), keep: tuple[str,
     language. Of equal values the first language by name wins.
     """
     kept = [f for f in df.schema.fields if f.name in keep]
+    (text_name,) = free_names(keep, "text")
     schema = T.StructType([*kept, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     sent = df.sparkSession.sparkContext.broadcast((model.languages, np.packbits(model.landmarks.astype(np.uint8), axis=1), model.weights))
 
@@ -173,14 +174,14 @@ def predict(df: DataFrame, model: Model, p: Kernel = Kernel(), keep: tuple[str,
                 best, score = np.full(batch.num_rows, len(languages)), np.zeros(batch.num_rows)
                 if languages:
                     sets = np.zeros((batch.num_rows, 1 << p.bits), np.float32)
-                    known = np.array([t is not None and mark(t, sets[i], p.bits) for i, t in enumerate(batch.column("__text").to_pylist())])
+                    known = np.array([t is not None and mark(t, sets[i], p.bits) for i, t in enumerate(batch.column(text_name).to_pylist())])
                     margins = kernel(sets, landmarks) @ weights[:-1] + weights[-1]
                     best[known] = margins.argmax(axis=1)[known]
                     score[known] = np.clip((margins.max(axis=1)[known].astype(float) + 1) / 2, 0, 1)
                 columns = [*(batch.column(f.name) for f in kept), pa.array(labels[best], pa.string()), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text).cast("string").alias("__text")).mapInArrow(work, schema)
+    return df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text).cast("string").alias(text_name)).mapInArrow(work, schema)
 
 
 def identify(docs: DataFrame, p: Kernel = Kernel()) -> DataFrame:

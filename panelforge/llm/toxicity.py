@@ -5,8 +5,9 @@ feature; pairs are neighbours or skip words in between.
 
 Training rows are dealt to shards of about `shard_rows`. In each round every shard continues
 from the shared state with per-coordinate rates, and the states are averaged per
-coordinate over the shards that touched it; one row per coordinate and shard moves. The
-L1 term leaves few weights, and only those are broadcast for scoring.
+coordinate over the shards that touched it. The state stays in a table of the shared
+folder, as a few ranges of coordinates of one row each; the driver never holds it. The L1
+term leaves few weights, and only those are collected and broadcast for scoring.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.llm.frames import held_out, texts
+from panelforge.llm.frames import discard, free_names, held_out, kept, texts, written
 from panelforge.llm.words import combine, mix, word_hashes
 
 THRESHOLD = 0.3
@@ -41,6 +42,7 @@ class Ftrl:
     shard_rows: int = 1000
     rounds: int = 6
     sample: int = 3000
+    ranges: int = 8
 
 
 def occurrences(hashes: np.ndarray, offsets: np.ndarray, p: Ftrl) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -83,27 +85,85 @@ def learn(rows: list[np.ndarray], labels: np.ndarray, z: np.ndarray, n: np.ndarr
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, p: Ftrl) -> DataFrame:
-    """(doc_id, text, y): at most `p.sample` rows of each class, chosen by a hash of the id."""
+    """(doc_id, text, y): at most `p.sample` rows of each class, chosen by hashes of id and text."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.filter(~held_out() & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64("doc_id", F.lit("ftrl"))
     zero, one = (known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(p.sample) for y in (0, 1))
-    return texts(docs).join(zero.unionByName(one), "doc_id").filter(F.col("text").isNotNull())
+    rows = texts(docs).join(zero.unionByName(one), "doc_id").filter(F.col("text").isNotNull())
+    rows = kept(rows, "labelled")
+    # an id may have any number of rows
+    zero, one = (rows.filter(F.col("y") == y).orderBy(order, "doc_id", F.xxhash64("text")).limit(p.sample) for y in (0, 1))
+    return zero.unionByName(one)
 
 
-def _shard_pass(state: tuple[np.ndarray, np.ndarray, np.ndarray], weight: float, p: Ftrl):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id", key=lambda ids: mix(ids.to_numpy().astype(np.uint64)), kind="stable")
+STATE = "part int, at binary, z binary, n binary"
+
+
+def _pack(parts: np.ndarray, at: np.ndarray, z: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """One row for each part of the coordinates `at`."""
+    if not len(at):
+        return pd.DataFrame({c: [] for c in ("part", "at", "z", "n")})
+    order = np.argsort(parts, kind="stable")
+    names, begin = np.unique(parts[order], return_index=True)
+    cut = [np.split(v[order], begin[1:]) for v in (at.astype(np.int32), z, n)]
+    return pd.DataFrame({"part": names.astype(np.int32), **{c: [x.tobytes() for x in v] for c, v in zip(("at", "z", "n"), cut, strict=True)}})
+
+
+def _unpack(rows: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    kinds = {"at": np.int32, "z": np.float64, "n": np.float64}
+    return [tuple(np.frombuffer(row[c], kind) for c, kind in kinds.items()) for row in rows.to_dict("records")]
+
+
+def _shard_pass(weight: float, p: Ftrl):
+    """The state of the coordinates that a shard's rows touched, after one pass over them."""
+
+    def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         size = (1 << p.bits) + 1
         z, n = np.zeros(size), np.zeros(size)
-        z[state[0]], n[state[0]] = state[1], state[2]
-        before = n.copy()
-        found = []
-        for _, hashes, offsets in word_hashes(pa.array(group["text"]), p.stems):
+        for at, some_z, some_n in _unpack(state):
+            z[at], n[at] = some_z, some_n
+        before, found = n.copy(), []
+        if rows.empty:
+            return _pack(before, before[:0], z, n)
+        rows = rows.assign(order=mix(rows["doc_id"].to_numpy().astype(np.uint64))).sort_values(["order", "text"], kind="stable")
+        for _, hashes, offsets in word_hashes(pa.array(rows["text"]), p.stems):
             found.extend(features(hashes, offsets, p))
-        learn(found, group["y"].to_numpy(), z, n, p, weight)
+        learn(found, rows["y"].to_numpy(), z, n, p, weight)
         at = np.flatnonzero(n != before)
-        return pd.DataFrame({"at": at, "z": z[at], "n": n[at]})
+        return _pack(at % p.ranges, at, z[at], n[at])
+
+    return run
+
+
+def _average(p: Ftrl):
+    """A range's new state: the mean over the shards that touched a coordinate, else the old state."""
+
+    def run(moved: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        size = (1 << p.bits) + 1
+        z, n, times = np.zeros(size), np.zeros(size), np.zeros(size)
+        for at, some_z, some_n in _unpack(moved):
+            z[at] += some_z
+            n[at] += some_n
+            times[at] += 1
+        for at, some_z, some_n in _unpack(old):
+            left = times[at] == 0
+            z[at[left]], n[at[left]], times[at[left]] = some_z[left], some_n[left], 1
+        at = np.flatnonzero(times)
+        return _pack(at % p.ranges, at, z[at] / times[at], n[at] / times[at])
+
+    return run
+
+
+def _weights(p: Ftrl):
+    """(at, w) of a range's weights that are not zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, z, n in _unpack(batch.select(["at", "z", "n"]).to_pandas()):
+                w = weights_of(z, n, p)
+                used = np.flatnonzero(w)
+                yield pa.RecordBatch.from_arrays([pa.array([at[used].tobytes()]), pa.array([w[used].tobytes()])], names=["at", "w"])
 
     return run
 
@@ -114,30 +174,37 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", p: Ftrl = Ftrl
     Rows of label 1 count more where they are few. Without rows of both classes nothing
     is learned, and every text scores 0.5.
     """
-    rows = training_rows(docs, labels, label, p).persist()
+    spark = docs.sparkSession
+    rows = kept(training_rows(docs, labels, label, p), "training")
+    # one row per class
     count = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(count) < 2:
+        return np.empty(0, np.int64), np.empty(0)
     shards = 1 + sum(count.values()) // p.shard_rows
-    weight = min(8.0, max(1.0, 0.5 * count.get(0, 0) / max(1, count.get(1, 0))))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    size = (1 << p.bits) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    for _ in range(p.rounds if len(count) == 2 else 0):
-        used = np.flatnonzero(n)
-        shard = _shard_pass((used, z[used], n[used]), weight, p)
-        moved = dealt.groupBy("shard").applyInPandas(shard, "at long, z double, n double")
-        # bounded: one row per coordinate of the hashed space
-        mean = moved.groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toPandas()
-        z[mean["at"]], n[mean["at"]] = mean["z"], mean["n"]
-    rows.unpersist()
-    w = weights_of(z, n, p)
-    at = np.flatnonzero(w)
-    return at, w[at]
+    weight = min(8.0, max(1.0, 0.5 * count[0] / count[1]))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
+    state, place = written(spark.createDataFrame([], STATE), "ftrl")
+    for _ in range(p.rounds):
+        shared = state.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        moved = dealt.groupBy("shard").cogroup(shared.groupBy("shard"))
+        moved = moved.applyInPandas(_shard_pass(weight, p), STATE)
+        mean = moved.groupBy("part").cogroup(state.groupBy("part")).applyInPandas(_average(p), STATE)
+        before = place
+        state, place = written(mean, "ftrl")
+        discard(spark, before)
+    # bounded: one row per range, with the weights that L1 leaves of 2^bits
+    found = state.mapInArrow(_weights(p), "at binary, w binary").collect()
+    at = np.concatenate([np.frombuffer(r["at"], np.int32) for r in found]).astype(np.int64)
+    w = np.concatenate([np.frombuffer(r["w"], np.float64) for r in found])
+    order = np.argsort(at)
+    return at[order], w[order]
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Ftrl = Ftrl(), keep: tuple[str, ...] = (), text: str = "text", name: str = "score") -> DataFrame:
     """`keep` columns and the score `name` (0 to 1) of every row; null and empty texts score the bias."""
-    kept = [f for f in df.schema.fields if f.name in keep]
-    schema = T.StructType([*kept, T.StructField(name, T.DoubleType())])
+    stay = [f for f in df.schema.fields if f.name in keep]
+    (text_name,) = free_names(keep, "text")
+    schema = T.StructType([*stay, T.StructField(name, T.DoubleType())])
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,12 +213,12 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray], p: Ftrl = Ftrl(),
         weights[at] = w
         for batch in batches:
             sums = np.full(batch.num_rows, float(weights[0]))
-            for first, hashes, offsets in word_hashes(batch.column("__text"), p.stems):
+            for first, hashes, offsets in word_hashes(batch.column(text_name), p.stems):
                 sums[first : first + len(offsets) - 1] += row_sums(hashes, offsets, weights, p)
             out = pa.array(1.0 / (1.0 + np.exp(-np.clip(sums, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), out], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in stay), out], names=[f.name for f in schema])
 
-    return df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(text).cast("string").alias("__text")).mapInArrow(work, schema)
+    return df.select(*(F.col(f"`{f.name}`") for f in stay), F.col(text).cast("string").alias(text_name)).mapInArrow(work, schema)
 
 
 def row_sums(hashes: np.ndarray, offsets: np.ndarray, weights: np.ndarray, p: Ftrl) -> np.ndarray:

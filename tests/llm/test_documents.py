@@ -5,9 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelforge.llm import langid, pii, quality, toxicity
+from panelforge.llm.frames import held_out
 from panelforge.llm.words import shingle_sets, word_hashes
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -194,6 +196,62 @@ def test_toxicity_of_odd_rows(documents, no_documents, labelled):
     assert {r["score"] for r in toxicity.toxicity(documents, odd.limit(0)).collect()} == {0.5}
 
 
+def scalar_ftrl(rows, p, weight):
+    """Weights by plain FTRL-proximal, one coordinate at a time, over one shard."""
+    import math
+
+    z, n = {}, {}
+
+    def weight_of(at):
+        zi, ni = z.get(at, 0.0), n.get(at, 0.0)
+        return 0.0 if abs(zi) <= p.l1 else -(zi - math.copysign(p.l1, zi)) / ((p.beta + math.sqrt(ni)) / p.alpha + p.l2)
+
+    for _ in range(p.rounds):
+        for row, label in rows:
+            at = [0, *(int(f) + 1 for f in row)]
+            w = {i: weight_of(i) for i in at}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - label) * (weight if label else 1.0)
+            for i in at:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / p.alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight_of(i) for i in z if weight_of(i)}
+
+
+def test_weights_equal_scalar_ftrl(spark):
+    from panelforge.llm.words import mix, word_hashes
+
+    p = toxicity.Ftrl(bits=12, rounds=3, l1=0.4)
+    text = {k: " ".join(f"w{(k * 7 + j * j) % 23}" for j in range(8)) + (" grim" if k % 3 == 0 else "") for k in range(60)}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in text], "doc_id long, toxic int")
+    at, w = toxicity.fit(docs, labels, p=p)
+    used = [r["doc_id"] for r in docs.filter(~held_out()).collect()]
+    used.sort(key=lambda k: (int(mix(np.array([k], np.uint64))[0]), text[k]))
+    found = []
+    for k in used:
+        for _, hashes, offsets in word_hashes(pa.array([text[k]]), p.stems):
+            found.append((toxicity.features(hashes, offsets, p)[0], int(k % 3 == 0)))
+    ones = sum(y for _, y in found)
+    want = scalar_ftrl(found, p, min(8.0, max(1.0, 0.5 * (len(found) - ones) / ones)))
+    assert set(at.tolist()) == set(want) and np.allclose(w, [want[i] for i in at.tolist()], rtol=1e-9)
+
+
+def test_training_rows_are_bounded_whatever_the_ids(spark):
+    rows = [(i, f"text {i} {k % 5}") for i in (0, 1, 3, 5) for k in range(200)]
+    labels = spark.createDataFrame([(0, 0), (1, 1), (3, 0), (5, 1)], "doc_id long, toxic int")
+    some = toxicity.training_rows(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic", toxicity.Ftrl(sample=7))
+    assert max(r["count"] for r in some.groupBy("y").count().collect()) <= 7
+
+
+def test_names_of_the_operators_may_be_taken(spark):
+    rows = [(k, "the cat of the house and more words", "en", 1, 2) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `__text` int, Text_ int")
+    keep = ("doc_id", "text", "__text", "Text_")
+    assert toxicity.score(docs, (np.array([0]), np.array([1.0])), keep=keep).columns == [*keep, "score"]
+    assert langid.predict(docs, langid.fit(docs), keep=keep).columns == [*keep, "lang_pred", "score"]
+
+
 def test_language_on_held_out_rows(spark):
     draw = random.Random(2)
     parts = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "er", "ö"], "cc": ["ção", "nh", "ei", "ra"]}
