@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -67,15 +68,8 @@ def forest(label: str, trees: int = cb.FOREST_TREES, depth: int = cb.FOREST_DEPT
     )
 
 
-def extra_trees(label: str, trees: int = 100, depth: int = 10) -> RandomForestClassifier:
-    """Every tree sees all rows. Thresholds are searched, not drawn: an approximation."""
-    return RandomForestClassifier(
-        labelCol=label, numTrees=trees, maxDepth=depth, bootstrap=False, featureSubsetStrategy="sqrt", seed=42
-    )
-
-
 def boosted_trees(label: str, rounds: int = 100) -> GBTClassifier:
-    """Boosting at the usual step size. Trees grow by level: an approximation of leaf-wise growth."""
+    """Boosting by levels at the usual step size; `boosting.Boost` grows its trees by leaf."""
     return GBTClassifier(labelCol=label, maxIter=rounds, stepSize=0.1, maxDepth=5, seed=42)
 
 
@@ -198,11 +192,12 @@ def prepared_folds(
 ) -> list[Fold]:
     """Stratified folds with balanced training rows, each written once.
 
-    Balancing is the costly step, so it runs once per fold and not once per model.
+    Balancing is the costly step, so it runs once per fold and not once per model. A few
+    folds at a time fill the cluster between their passes.
     """
     numbered = cut(stratified_folds(df.select(key, label, *[named(c) for c in columns]), key, label, folds, seed))
-    out = []
-    for i in range(folds):
+
+    def prepare(i: int) -> Fold:
         train, test = numbered.where(F.col("fold") != i), numbered.where(F.col("fold") == i)
         if balance:
             chain = BalancedClassifier(keyCol=key, labelCol=label, inputCols=list(columns), scale=scale)
@@ -211,5 +206,7 @@ def prepared_folds(
             stages = feature_stages(train, columns, scale)
             ready = cut(PipelineModel(stages).transform(train).select(key, label, "features").hint("rebalance"))
         scored = PipelineModel(stages).transform(test).select(key, label, "features")
-        out.append(Fold(i, ready, ready.count(), cut(scored)))
-    return out
+        return Fold(i, ready, ready.count(), cut(scored))
+
+    with ThreadPool(4) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(prepare), range(folds), chunksize=1)

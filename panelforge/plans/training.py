@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.functions import codebook as cb
+from panelforge.functions.keyed import named
+from panelforge.operators import boosting, linear, trees
 from panelforge.operators import metrics as mt
 from panelforge.operators import models as md
 from panelforge.operators.split import stratified_folds
@@ -25,15 +28,28 @@ from panelforge.session import cut
 Maker = Callable[[int], object]
 
 
-def model_set(boost_rounds: int = 100, trees: int = 100) -> dict[str, Maker | None]:
-    """Classifiers by name, each from the number of training rows. None is the chance model."""
+@dataclass(frozen=True)
+class Linear:
+    """A logistic regression of a comparison."""
+
+    c: float = 1.0
+    l1: bool = False
+    weights: tuple[float, float] = (1.0, 1.0)
+
+
+Spec = Linear | trees.Forest | boosting.Boost
+
+
+def model_set(boost_rounds: int = 100, trees_each: int = 100) -> dict[str, Spec | None]:
+    """The seven classifiers of the comparison by name. None is the chance model."""
     return {
         "chance": None,
-        "logistic base": lambda n: md.logistic(LABEL, n, 1.0),
-        "logistic tuned": lambda n: md.tuned_logistic(LABEL, n),
-        "random forest": lambda n: md.forest(LABEL),
-        "extra trees": lambda n: md.extra_trees(LABEL, trees),
-        "boosted trees": lambda n: md.boosted_trees(LABEL, boost_rounds),
+        "logistic base": Linear(),
+        "logistic tuned": Linear(cb.LOGISTIC_C, True, (cb.CLASS_WEIGHTS[0], cb.CLASS_WEIGHTS[1])),
+        "random forest base": trees.Forest("random forest base", trees_each),
+        "random forest": trees.Forest("random forest", cb.FOREST_TREES, cb.FOREST_DEPTH, cb.FOREST_LEAF, cb.FOREST_SPLIT),
+        "extra trees": trees.Forest("extra trees", trees_each, bootstrap=False, extra=True),
+        "boosted trees": boosting.Boost("boosted trees", boost_rounds),
     }
 
 
@@ -61,13 +77,69 @@ def _fits(estimators: Sequence, train: DataFrame, parallelism: int = 4) -> list:
         return pool.map(fit, estimators, chunksize=1)
 
 
-def out_of_fold(folds: Sequence[md.Fold], makers: Mapping[str, Maker | None]) -> DataFrame:
-    """(model, fold, id, y, prediction, score) of every model on every fold."""
+def _fold_rows(folds: Sequence[md.Fold], side: str) -> DataFrame:
+    """(part, id, y, x, key columns) of the training or test rows of all folds; a part is a fold."""
+    frames = [(f.number, f.train if side == "train" else f.test) for f in folds]
+    copy = lambda df: F.col("copy") if "copy" in df.columns else F.lit(0)
+    return _union(
+        [
+            df.select(F.lit(n).alias("part"), F.col(KEY).alias("id"), F.col(LABEL).alias("y"), vector_to_array("features").alias("x"), copy(df).alias("copy"))
+            for n, df in frames
+        ]
+    )
+
+
+def _features(folds: Sequence[md.Fold]) -> int:
+    return folds[0].test.first()["features"].size
+
+
+def _out_of_fold_specs(folds: Sequence[md.Fold], specs: Mapping[str, Spec]) -> DataFrame:
+    """(model, fold, id, y, score) of models that are fitted on all folds at once."""
+    own = {f.number: [f.number] for f in folds}
+    width = _features(folds)
+    train, test = _fold_rows(folds, "train"), cut(_fold_rows(folds, "test"))
+    parts = []
+    lines = {n: s for n, s in specs.items() if isinstance(s, Linear)}
+    if lines:
+        problems = [linear.Problem(n, f.number, s.c, s.l1, s.weights) for n, s in lines.items() for f in folds]
+        fits = linear.fit_many(linear.row_blocks(train, "part", "y", "x"), problems, own, width)
+        names = F.array(*[F.lit(p.name) for p in problems])
+        parts.append(linear.scores_many(test, fits, own).select(F.get(names, F.col("problem")).alias("model"), F.col("part").alias("fold"), "id", "y", "score"))
+    grown = {n: s for n, s in specs.items() if not isinstance(s, Linear)}
+    if grown:
+        layout = trees.fit_bins(train, width)
+        rows, asked = trees.tree_blocks(train, layout, ["id", "copy"]), trees.tree_blocks(test, layout, ["id", "copy"])
+        by_key = test.select(F.col("part").alias("fold"), "id", "y", F.xxhash64("id", "copy").alias("key"))
+        forests = {n: s for n, s in grown.items() if isinstance(s, trees.Forest)}
+        found = []
+        if forests:
+            made = trees.grow_forests(rows, list(forests.values()), own, layout)
+            names = F.array(*[F.lit(n) for n in forests])
+            found.append(trees.forest_scores(made, asked, own).select(F.get(names, F.col("spec")).alias("model"), F.col("group").alias("fold"), "key", "score"))
+        for name, spec in grown.items():
+            if isinstance(spec, boosting.Boost):
+                scored = boosting.boosted_scores(boosting.boost(rows, spec, layout), asked, own)
+                found.append(scored.select(F.lit(name).alias("model"), F.col("group").alias("fold"), "key", "score"))
+        parts += [f.join(by_key, ["fold", "key"]).select("model", "fold", "id", "y", "score") for f in found]
+    return _union(parts)
+
+
+def out_of_fold(folds: Sequence[md.Fold], makers: Mapping[str, Maker | Spec | None]) -> DataFrame:
+    """(model, fold, id, y, prediction, score) of every model on every fold.
+
+    Specs are fitted on all folds at once, estimators fold by fold.
+    """
     parts = []
+    specs = {n: m for n, m in makers.items() if isinstance(m, Spec)}
+    if specs:
+        scored = _out_of_fold_specs(folds, specs)
+        parts.append(scored.select("model", "fold", "id", "y", (F.col("score") > 0.5).cast("double").alias("prediction"), "score"))
     for fold in folds:
-        fitted = [name for name, maker in makers.items() if maker is not None]
-        models = dict(zip(fitted, _fits([makers[name](fold.train_rows) for name in fitted], fold.train)))
+        fitted = [name for name, maker in makers.items() if maker is not None and name not in specs]
+        models = dict(zip(fitted, _fits([makers[name](fold.train_rows) for name in fitted], fold.train))) if fitted else {}
         for name in makers:
+            if name in specs:
+                continue
             if name not in models:
                 scored = md.chance_predictions(fold.test, KEY, LABEL, md.positive_prior(fold.train, LABEL))
             else:
@@ -119,55 +191,64 @@ def cross_validate(folds: Sequence[md.Fold], maker: Maker) -> DataFrame:
 # --- search -----------------------------------------------------------------
 
 
-def logistic_grid(
-    fold: md.Fold, weights: Mapping[str, Mapping[int, float]], grid: Mapping = cb.LOGISTIC_GRID
-) -> list[tuple[str, LogisticRegression]]:
-    """Estimators of the grid for one fold; the penalty depends on the fold's total weight."""
-    totals = fold.train.agg(*[F.sum(f"w_{i}").alias(f"w_{i}") for i in range(len(weights))]).first()
+def logistic_problems(counts: Mapping[int, Mapping[int, int]], grid: Mapping = cb.LOGISTIC_GRID) -> list[linear.Problem]:
+    """The problems of the grid for every fold; `counts` has the rows of each fold by class."""
     out = []
-    for l1, c, (i, name) in product(grid["l1_share"], grid["C"], list(enumerate(weights))):
-        estimator = md.logistic(LABEL, totals[f"w_{i}"], c, l1=l1 == 1.0).setWeightCol(f"w_{i}")
-        out.append((f"{'l1' if l1 == 1.0 else 'l2'} C={c:g} weights={name}", estimator))
+    for fold in counts:
+        n = [sum(c.get(label, 0) for f, c in counts.items() if f != fold) for label in (0, 1)]
+        for l1, c, w in product(grid["l1_share"], grid["C"], grid["class_weight"]):
+            weights = tuple(sum(n) / (2 * max(1, k)) for k in n) if w == "balanced" else (float(w[0]), float(w[1]))
+            out.append(linear.Problem(f"{'l1' if l1 == 1.0 else 'l2'} C={c:g} weights={w}", fold, c, l1 == 1.0, weights))
     return out
 
 
+def fitted_grid(table: DataFrame, columns: Sequence[str], folds: int = cb.FOLDS, grid: Mapping = cb.LOGISTIC_GRID) -> tuple[linear.Fits, DataFrame]:
+    """All candidates of the grid fitted without each fold, and the rows (part, id, y, x) by fold."""
+    numbered = stratified_folds(table.select(KEY, LABEL, *[named(c) for c in columns]), KEY, LABEL, folds)
+    x = F.array(*[named(c).cast("double") for c in columns])
+    rows = cut(numbered.select(F.col("fold").alias("part"), F.col(KEY).alias("id"), F.col(LABEL).alias("y"), x.alias("x")))
+    counts: dict[int, dict[int, int]] = {f: {} for f in range(folds)}
+    # one row per fold and class
+    for r in rows.groupBy("part", "y").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["part"]][r["y"]] = r["n"]
+    others = {f: [g for g in range(folds) if g != f] for f in range(folds)}
+    fits = linear.fit_many(linear.row_blocks(rows, "part", "y", "x"), logistic_problems(counts, grid), others, len(columns))
+    return fits, rows
+
+
 def search_logistic(table: DataFrame, columns: Sequence[str], folds: int = cb.FOLDS, grid: Mapping = cb.LOGISTIC_GRID) -> DataFrame:
     """Mean accuracy (micro F1) of each penalty, C and class weight over the folds."""
-    prepared = md.prepared_folds(table, KEY, LABEL, columns, folds, balance=False)
-    parts = []
-    for fold in prepared:
-        weights = {
-            str(w): md.balanced_weights(fold.train, LABEL) if w == "balanced" else {0: w[0], 1: w[1]}
-            for w in grid["class_weight"]
-        }
-        weighted = fold.train.select(
-            "*", *[md.class_weight(LABEL, w).alias(f"w_{i}") for i, w in enumerate(weights.values())]
-        )
-        ready = md.Fold(fold.number, cut(weighted), fold.train_rows, fold.test)
-        candidates = logistic_grid(ready, weights, grid)
-        parts.append(_scored_candidates(ready, candidates))
-    return _ranked_candidates(_union(parts), mt.accuracy())
+    fits, rows = fitted_grid(table, columns, folds, grid)
+    blocks = linear.row_blocks(rows, "part", "y", "x")
+    counted = linear.outcome_counts_many(blocks, fits, {f: [f] for f in range(folds)})
+    names = table.sparkSession.createDataFrame([(i, p.name, p.group) for i, p in enumerate(fits.problems)], "problem int, candidate string, fold int")
+    return _ranked_candidates(counted.join(F.broadcast(names), "problem"), mt.accuracy())
 
 
 def search_forest(table: DataFrame, columns: Sequence[str], folds: int = cb.FOLDS, grid: Mapping = cb.FOREST_GRID) -> DataFrame:
-    """Mean recall of each depth, leaf size and tree count, balanced inside the folds."""
+    """Mean recall of each depth, split bound, leaf size and tree count, balanced inside the folds.
+
+    One forest is grown for each leaf size, with the most trees and the deepest; the other
+    candidates are read off its first trees and upper nodes.
+    """
     prepared = md.prepared_folds(table, KEY, LABEL, columns, folds, scale=True)
-    candidates = [
-        (f"depth={d} leaf={leaf} trees={n}", md.forest(LABEL, n, d, leaf))
-        for d, leaf, n in product(grid["max_depth"], grid["min_leaf"], grid["trees"])
-    ]
-    return _ranked_candidates(_union([_scored_candidates(f, candidates) for f in prepared]), mt.recall())
-
-
-def _scored_candidates(fold: md.Fold, candidates: Sequence[tuple[str, object]]) -> DataFrame:
-    """Outcome counts of all candidates on a fold, tallied in a single job."""
-    models = _fits([estimator for _, estimator in candidates], fold.train)
-    scored = [
-        model.transform(fold.test)
-        .select(F.lit(name).alias("candidate"), F.lit(fold.number).alias("fold"), F.col(LABEL).alias("y"), "prediction")
-        for (name, _), model in zip(candidates, models)
-    ]
-    return cut(mt.outcome_counts(_union(scored), ["candidate", "fold"]))
+    own = {f.number: [f.number] for f in prepared}
+    train = cut(_fold_rows(prepared, "train"))
+    layout = trees.fit_bins(train, len(columns))
+    rows = trees.tree_blocks(train, layout, ["id", "copy"])
+    asked = trees.tree_blocks(_fold_rows(prepared, "test"), layout, ["id", "copy"])
+    splits = grid.get("min_split", [2])
+    whole = trees.Forest("", max(grid["trees"]), max(grid["max_depth"]), 1, min(splits))
+    specs = [replace(whole, name=f"leaf={leaf}", leaf=leaf) for leaf in grid["min_leaf"]]
+    variants = list(product(grid["max_depth"], splits))
+    grown = trees.grow_forests(rows, specs, own, layout)
+    counted = trees.candidate_counts(grown, asked, own, variants, grid["trees"])
+    leaf = F.get(F.array(*[F.lit(s.name) for s in specs]), F.col("spec"))
+    shape = F.get(F.array(*[F.lit(f"depth={d} split={s}") for d, s in variants]), F.col("variant"))
+    named_counts = counted.select(
+        F.concat_ws(" ", shape, leaf, F.concat(F.lit("trees="), F.col("trees"))).alias("candidate"), F.col("group").alias("fold"), "tp", "fp", "fn", "tn"
+    )
+    return _ranked_candidates(named_counts, mt.recall())
 
 
 def _ranked_candidates(counts: DataFrame, value) -> DataFrame:

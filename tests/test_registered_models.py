@@ -58,7 +58,7 @@ def test_full_defaults_of_the_comparison(spark, monkeypatch):
     models = recorded(monkeypatch, mq.tr, "model_set")
     with pytest.raises(Stopped):
         mq.model_comparison(spark, "unused")
-    assert folds["folds"] == cb.FOLDS and folds["columns"] == COLUMNS and models == {"boost_rounds": 100, "trees": 100}
+    assert folds["folds"] == cb.FOLDS and folds["columns"] == COLUMNS and models == {"boost_rounds": 100, "trees_each": 100}
 
 
 def test_one_hot_of_many_levels(spark):
