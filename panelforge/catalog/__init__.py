@@ -1,6 +1,7 @@
 """Registered queries and the SQL they are checked against."""
 
 from panelforge.catalog import (  # noqa: F401
+    fitted_queries,
     metric_queries,
     model_queries,
     page_queries,

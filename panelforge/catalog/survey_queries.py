@@ -116,7 +116,7 @@ def clean_csv_round_trip(spark, folder):
     clean = plan.clean_survey(v.survey(spark, folder))
     path = scratch_path(spark, "clean")
     write_csv(clean, path)
-    return read_csv(spark, path, clean.schema)
+    return read_csv(spark, path, clean.schema, line_breaks=False)
 
 
 @query("S7", "SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS drug_name FROM part")

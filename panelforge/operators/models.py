@@ -83,11 +83,11 @@ def positive_prior(df: DataFrame, label: str) -> float:
     return df.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0]
 
 
-def predictions(model, df: DataFrame, key: str, label: str) -> DataFrame:
+def predictions(model, df: DataFrame, key: str, label: str, said: str = "prediction") -> DataFrame:
     """(id, y, prediction, score_0, score) where score is the probability of class 1."""
     shares = vector_to_array("probability")
     return model.transform(df).select(
-        F.col(key).alias("id"), F.col(label).alias("y"), "prediction", shares[0].alias("score_0"), shares[1].alias("score")
+        F.col(key).alias("id"), F.col(label).alias("y"), F.col(said).alias("prediction"), shares[0].alias("score_0"), shares[1].alias("score")
     )
 
 

@@ -37,15 +37,16 @@ def read_survey(spark: SparkSession, path: str, file_format: str = "parquet") ->
 QUOTING = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = True) -> DataFrame:
     """CSV with a header, where `NA` and empty fields are both missing.
 
     A file with line breaks inside texts cannot be split, so its size bounds a task's
-    input; `write_csv` writes one file for each partition.
+    input; `write_csv` writes one file for each partition. Without `line_breaks` a file
+    is split by lines and read by many tasks.
     """
     df = spark.read.schema(schema).options(**QUOTING).option("header", True).option("nullValue", "NA").option(
         "enforceSchema", False
-    ).csv(path, multiLine=True)
+    ).csv(path, multiLine=line_breaks)
     texts = [f.name for f in schema if isinstance(f.dataType, T.StringType)]
     return df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in texts})
 

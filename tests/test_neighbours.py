@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.operators import balance as bl
 from panelforge.operators import box_tree as bt
 from panelforge.operators import neighbours as nb
 from panelforge.operators.balance import oversampled
@@ -214,3 +215,16 @@ def test_copies_are_spread_evenly(spark):
 def test_one_minority_row_is_repeated(spark):
     df = cut(spark.createDataFrame([(1, 1, 4.0), (2, 0, 1.0), (3, 0, 2.0)], "id long, y int, a double"))
     assert [r["a"] for r in oversampled(df, "id", "y", ["a"]).where("copy > 0").collect()] == [4.0]
+
+
+@pytest.mark.parametrize("sent", [10_000, 2])
+def test_many_copies_of_few_rows_are_dealt_evenly(spark, monkeypatch, sent):
+    monkeypatch.setattr(bl, "SENT_ROWS", sent)
+    rows = [(i, int(i < 3), float(i), float(i % 7)) for i in range(5003)]
+    df = cut(spark.createDataFrame(rows, "id long, y int, a double, b double").repartition(4))
+    made = bl.synthetic_rows(df, "id", "y", ["a", "b"]).cache()
+    assert made.count() == 5000 - 3 and made.select("id", "copy").distinct().count() == 4997
+    assert sorted(r["count"] for r in made.groupBy("id").count().collect()) == [1665, 1666, 1666]
+    if sent > 3:
+        per_task = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(per_task) < 2 * sum(per_task) / len(per_task)
