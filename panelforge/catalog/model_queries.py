@@ -15,6 +15,7 @@ from panelforge.functions import codebook as cb
 from panelforge.operators import explain as ex
 from panelforge.operators import metrics as mt
 from panelforge.operators import models as md
+from panelforge.operators.linear import Linear
 from panelforge.operators.profile import per_column
 from panelforge.plans import features as ft
 from panelforge.plans import survey as plan
@@ -74,7 +75,7 @@ def chance_model(spark, folder):
 
 @query("M1 M3 M4 M5 M6 M11 T2 T3 U1 A4")
 def model_comparison(spark, folder):
-    """Mean and deviation of each metric for six models over the folds."""
+    """Mean and deviation of each metric for seven models over the folds."""
     table, columns = design(spark, folder)
     folds = md.prepared_folds(table, ft.KEY, ft.LABEL, columns)
     return tr.compare_models(tr.out_of_fold(folds, tr.model_set()))["summary"]
@@ -257,5 +258,6 @@ def feature_elimination(spark, folder):
 @query("X7 E11 P2")
 def feature_elimination_folds(spark, folder):
     table, columns = design(spark, folder)
-    sizes, _ = ex.eliminate_with_folds(table, ft.KEY, ft.LABEL, columns, _tuned)
+    kind = Linear(cb.LOGISTIC_C, True, (cb.CLASS_WEIGHTS[0], cb.CLASS_WEIGHTS[1]))
+    sizes, _ = ex.eliminate_with_folds(table, ft.KEY, ft.LABEL, columns, kind)
     return sizes

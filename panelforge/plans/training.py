@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import replace
 from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
@@ -21,6 +21,7 @@ from panelforge.functions.keyed import named
 from panelforge.operators import boosting, linear, trees
 from panelforge.operators import metrics as mt
 from panelforge.operators import models as md
+from panelforge.operators.linear import Linear
 from panelforge.operators.split import stratified_folds
 from panelforge.plans.features import KEY, LABEL, feature_groups
 from panelforge.session import cut
@@ -28,15 +29,6 @@ from panelforge.session import cut
 Maker = Callable[[int], object]
 
 
-@dataclass(frozen=True)
-class Linear:
-    """A logistic regression of a comparison."""
-
-    c: float = 1.0
-    l1: bool = False
-    weights: tuple[float, float] = (1.0, 1.0)
-
-
 Spec = Linear | trees.Forest | boosting.Boost
 
 
