@@ -79,8 +79,9 @@ def bloom_misses(rows: DataFrame, filled: DataFrame, blocks: int) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row.
 
-    The listed keys are the rules' `host` + `path`. A url offers the keys made of each of
-    its host suffixes and each prefix of its path whose length some rule has. Keys that
+    The listed keys are the rules' `host` + `path`. A url offers the keys made of each
+    suffix of its host with as many labels as some rule's, and each prefix of its path
+    whose length some rule has, so a very long url offers no more than others. Keys that
     pass the filter are joined with the rules exactly, and the longest fitting rule wins
     (of equally long ones, the smallest by verdict). An url without a fitting rule gets
     `default`.
@@ -92,7 +93,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     host, path = split_url(F.col(url))
     rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     rules = rules.select("verdict", "host", "path").dropna().groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    size = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths")).first()
+    depth = F.size(F.split("host", r"\."))
+    size = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths"), F.collect_set(depth).alias("depths")).first()
     if not size["n"]:
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     listed = rules.select(_key(F.col("host"), F.col("path")).alias("key"), F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "verdict")
@@ -100,8 +102,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
 
     distinct = rows.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    # the host itself, and what follows each of its dots
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    depths = F.array(*(F.lit(n) for n in sorted(size["depths"])))
+    suffixes = F.transform(F.filter(depths, lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
     lengths = F.array(*(F.lit(n) for n in sorted(size["lengths"])))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     offered = (

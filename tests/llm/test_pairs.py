@@ -226,7 +226,7 @@ def brute_url(url, rules):
 URLS = [
     "http://example.com/en/1", "https://WWW.Example.COM/en/?q", "http://a.www.example.com/en/", "http://example.com/en", "http://notexample.com/en/1",
     "http://b.net/es/x", "http://net/fr/", "http://b.net/ES/x", "http://b.net", "x.com/en/", None, "", "://com/", "http://com/#a", "http://com?x=/",
-    "http://a.com:80/", "http://.com/", "http://com./", "http://ex\nample.com/en/\n", "a://b://example.com/en/", "http://example.com/en/1",
+    "http://" + "a." * 20_000 + "example.com/en/1", "http://b.net/es/" + "x" * 50_000, "http://a.com:80/", "http://.com/", "http://com./", "http://ex\nample.com/en/\n", "a://b://example.com/en/", "http://example.com/en/1",
 ]
 
 
