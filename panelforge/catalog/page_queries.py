@@ -152,6 +152,19 @@ def incremental_key_words(spark, folder):
     return spark.read.parquet(out).groupBy("page_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("S6 H1", f"WITH {_WORDS} SELECT page_id, word, count(*)::BIGINT AS n FROM words GROUP BY 1, 2")
+def key_words_in_batches(spark, folder):
+    """Pages arrive in four parts and once more with a longer text; each is parsed once, over several batches."""
+    arrived, out, state = (scratch_path(spark, n) for n in ("pages", "words", "words-state"))
+    pages = read_table(spark, folder, "pages")
+    parts = [pages.where(F.pmod(F.xxhash64("page_id"), F.lit(4)) == i) for i in range(4)]
+    again = pages.withColumn("html", F.concat("html", F.lit("<ul><li><a>again</a></li></ul>")))
+    for part in [*parts, again]:
+        part.write.mode("append").parquet(arrived)
+    append_parsed(page_stream(spark, arrived, files=2), lambda p: pg.key_words(p, "li"), out, state)
+    return spark.read.parquet(out).groupBy("page_id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("S5 S6 H4 H9", f"WITH {v.REVIEWS} SELECT page_id, position, {_RAW} FROM reviews")
 def incremental_reviews(spark, folder):
     """Review pages arrive as files, are parsed in micro-batches and appended."""

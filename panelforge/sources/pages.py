@@ -111,8 +111,9 @@ def _headed(section, label: str, ending: str) -> Column:
 
 
 def _paragraph(block, label: str) -> Column:
-    """Markup of the paragraph that a bold label opens; empty when there is none."""
-    return F.regexp_extract(block, rf"(?s)<p[^>]*>([^<]*<strong[^>]*>{label}</strong>.*?)</p>".replace("&", "&amp;"), 1)
+    """Markup of the element that a bold label opens, of whatever kind; empty when there is none."""
+    pattern = rf"(?s)<([A-Za-z]\w*)(?:\s[^>]*)?>([^<]*<strong[^>]*>{label}</strong>.*?)</\1>"
+    return F.regexp_extract(block, pattern.replace("&", "&amp;"), 2)
 
 
 def _once(df: DataFrame, columns: dict[str, Column], keep: Column | None = None) -> DataFrame:

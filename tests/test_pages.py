@@ -111,6 +111,13 @@ def test_nested_markup_in_a_field(spark):
     assert (row["side_effects"], row["adherence"]) == ("Mild or less", "Usually")
 
 
+@pytest.mark.parametrize("kind", ["p", "li", "section"])
+def test_optional_fields_in_elements_of_any_kind(spark, kind):
+    page = block(PROFILE, extras=EXTRAS.replace("<p>", f"<{kind} class='x'>").replace("</p>", f"</{kind}>"))
+    row = pg.parse_reviews(spark.createDataFrame([(1, "https://reviews.example/browse/x?b", page)], pg.PAGE_SCHEMA)).first()
+    assert (row["dosage"], row["advice"], row["cost"]) == ("50 mg daily", "take it early", "$25-50 & more")
+
+
 def test_all_character_references(spark):
     texts = ["a&nbsp;b", "&#x27;&apos;&quot;&#39;", "&eacute;&Eacute;", "&lt;p&gt; &amp; &amp;lt; &amp;eacute;", "plain & simple", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unescaped("t").alias("u"))
