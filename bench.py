@@ -35,6 +35,9 @@ HEADLINE = [
     "incremental_key_words",
     "attribution_summary",
     "held_out_predictions",
+    "boosted_stumps",
+    "lasso_closed_form",
+    "nearest_neighbours_wide",
 ]
 
 
