@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from panelforge.catalog import views as v
 from panelforge.catalog.registry import query
 from panelforge.functions import codebook as cb
-from panelforge.operators import boosting, linear, trees
+from panelforge.operators import boosting, linear, sparse, trees
 from panelforge.operators import explain as ex
 from panelforge.operators import models as md
 from panelforge.plans import training as tr
@@ -189,3 +189,14 @@ def stored_scores(spark, folder):
     first, again = (md.predictions(m, rows, "id", "y", "said") for m in (model, load_model(path)))
     both = first.select("id", "score").join(again.select("id", F.col("score").alias("again")), "id")
     return both.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("score") - F.col("again"))).alias("largest_gap"))
+
+
+@query(
+    "R2 T5",
+    "SELECT l_orderkey, l_linenumber, nullif(dense_rank() OVER (ORDER BY l_orderkey) - 2, -1)::INTEGER AS position FROM lineitem",
+)
+def sparse_levels(spark, folder):
+    """The place of each item's order among all orders in a sparse one-hot vector; the first order has none."""
+    items = read_table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
+    vectors = sparse.fit_sparse(items, categorical=["l_orderkey"]).apply(items, ["l_orderkey", "l_linenumber"])
+    return vectors.select("l_orderkey", "l_linenumber", F.get(sparse.nonzero(), F.lit(0))["position"].alias("position"))

@@ -68,7 +68,7 @@ def page_elements(spark, folder):
     "H2 H3 C12",
     f"WITH {v._REVIEW_ROWS}, n AS (SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 6 + 2)::INTEGER ELSE 1 END AS n_pages FROM review_rows), "
     "e AS (SELECT *, unnest(range(1, n_pages::BIGINT + 1))::INTEGER AS page FROM n) "
-    "SELECT *, printf('https://reviews.example/browse/%s?brand=f&page=%s#evaluations', page_id::VARCHAR, page::VARCHAR) AS url FROM e",
+    "SELECT *, printf('https://reviews.example/browse/%s?sheet=%s', page_id::VARCHAR, page::VARCHAR) AS url FROM e",
 )
 def review_page_addresses(spark, folder):
     return pg.page_addresses(v.review_pages(spark, folder), "page_id", v.ADDRESS)

@@ -285,13 +285,13 @@ def text_pieces(spark, folder):
 
 @query(
     "C12",
-    "SELECT p_partkey, printf('https://reviews.example/browse/%s?brand=f&page=%s#evaluations', lower(split_part(p_name, ' ', 1)), p_size::VARCHAR) AS url FROM part",
+    "SELECT p_partkey, printf('https://reviews.example/browse/%s?sheet=%s', lower(split_part(p_name, ' ', 1)), p_size::VARCHAR) AS url FROM part",
 )
 def address_templates(spark, folder):
     name = F.lower(tx.word_at("p_name", 0))
     return read_table(spark, folder, "part").select(
         "p_partkey",
-        tx.address("https://reviews.example/browse/%s?brand=f&page=%s#evaluations", name, "p_size").alias("url"),
+        tx.address("https://reviews.example/browse/%s?sheet=%s", name, "p_size").alias("url"),
     )
 
 

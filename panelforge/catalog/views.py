@@ -172,7 +172,7 @@ scored AS (
 
 # --- review pages -----------------------------------------------------------
 
-ADDRESS = "https://reviews.example/browse/%s?brand=f&page=%s#evaluations"
+ADDRESS = "https://reviews.example/browse/%s?sheet=%s"
 
 # Each order is one page with two profile blocks: the customer with the latest
 # and an older evaluation, and the customer's nation as a second reviewer. Field

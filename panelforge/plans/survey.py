@@ -8,7 +8,6 @@ from panelforge.functions import codebook as cb
 from panelforge.functions.recode import bracketed, either_is, labelled_code, merged_labels
 from panelforge.operators.columns import copied, renamed, reordered
 from panelforge.operators.filters import filled, without_refusals
-from panelforge.operators.profile import cross_table
 
 KEY = "respondent_id"
 
@@ -48,12 +47,3 @@ def labelled_answers(coded: DataFrame) -> DataFrame:
 
 def clean_survey(raw: DataFrame) -> DataFrame:
     return labelled_answers(coded_answers(raw))
-
-
-def adherence_by(clean: DataFrame, category: str) -> DataFrame:
-    """Counts of adherent and non-adherent respondents per category."""
-    return cross_table(clean, category, cb.TARGET, [cb.ADHERENT, cb.NON_ADHERENT]).select(
-        category,
-        F.col(cb.ADHERENT).alias("adherent"),
-        F.col(cb.NON_ADHERENT).alias("non_adherent"),
-    )

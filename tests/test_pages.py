@@ -40,7 +40,7 @@ EXTRAS = (
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    site = "https://reviews.example/browse/{}?brand=f&page=1#evaluations"
+    site = "https://reviews.example/browse/{}?sheet=1"
     rows = [
         (1, site.format("gabapentin"), f"<html>{block(PROFILE, extras=EXTRAS)}{block({**PROFILE, 'userName': 'second'}, True)}</html>"),
         (2, site.format("trazodone"), "<html><p>nothing here</p></html>"),
