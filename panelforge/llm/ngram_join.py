@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,8 +112,9 @@ def _prefixes(p: JaccardJoin, heavy: np.ndarray):
                     sent.add(cls)
                     length, late_end = p.prefix(len(found)), 0
                     if len(heavy):
-                        spot = np.minimum(np.searchsorted(heavy, found), len(heavy) - 1)
-                        late = heavy[spot] == found
+                        short = found >> SHORT
+                        spot = np.minimum(np.searchsorted(heavy, short), len(heavy) - 1)
+                        late = heavy[spot] == short
                         light = found[~late]
                         late_end = int(len(light) < length)
                         found = np.concatenate([light, found[late][: length - len(light)]]) if late_end else light
@@ -127,16 +129,15 @@ def _prefixes(p: JaccardJoin, heavy: np.ndarray):
 
 
 def _whole_sets(p: JaccardJoin):
-    """(doc_id, cls, grams) of each row that has a set."""
+    """(cls, grams) of each row that has a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = batch.column("doc_id")
-                rows = [(ids[row].as_py(), _class(found), found.tobytes()) for row, found in _sets(batch, p) if len(found)]
-                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "cls", "grams"])
+                rows = [(_class(found), found.tobytes()) for _, found in _sets(batch, p) if len(found)]
+                columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cls", "grams"])
 
     return run
 
@@ -229,12 +230,72 @@ def _links(p: JaccardJoin):
 # --- on Spark ------------------------------------------------------------------------
 
 
+#: Bits of an n-gram's hash left out when prefixes are counted, and its first bits, which name a bucket.
+SHORT, BUCKET = np.uint64(24), 10
+COUNTED = 1 << 21
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, counts) of the prefixes' n-grams: sorted short hashes, as packed steps, with their counts."""
+    held, size = [], 0
+
+    def packed() -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(held).view(np.uint64) >> SHORT, return_counts=True)
+        bucket = (found >> np.uint64(40 - BUCKET)).astype(np.int32)
+        names, first = np.unique(bucket, return_index=True)
+        blobs = []
+        for begin, end in zip(first, [*first[1:], len(found)], strict=True):
+            step = np.diff(found[begin:end], prepend=np.uint64(0))
+            # bytes of one rank together, as the high ones are mostly zero
+            planes = step.view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
+            blobs.append(zlib.compress(planes + counts[begin:end].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["bucket", "counts"])
+
+    for batch in batches:
+        held.append(np.asarray(batch.column("tokens").flatten(), np.int64))
+        size += len(held[-1])
+        if size > COUNTED:
+            yield packed()
+            held, size = [], 0
+    if size:
+        yield packed()
+
+
+def _often(p: JaccardJoin):
+    """(token, count) of the short hashes that `heavy` prefixes have, of a partition sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in key_runs(batches, ("bucket",)):
+            found, counts = [], []
+            for blob in map(zlib.decompress, rows.column("counts").to_pylist()):
+                n = len(blob) // 9
+                step = np.zeros((n, 8), np.uint8)
+                step[:, :5] = np.frombuffer(blob, np.uint8, 5 * n).reshape(5, n).T
+                found.append(np.cumsum(step.view(np.uint64).ravel()))
+                counts.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, offset=5 * n).reshape(4, n).T).view("<u4").ravel())
+            names, place = np.unique(np.concatenate(found), return_inverse=True)
+            total = np.bincount(place, np.concatenate(counts)).astype(np.int64)
+            often = total >= p.heavy
+            yield pa.RecordBatch.from_arrays([pa.array(names[often].astype(np.int64)), pa.array(total[often])], names=["token", "count"])
+
+    return run
+
+
 def heavy_tokens(docs: DataFrame, p: JaccardJoin) -> np.ndarray:
-    """The n-grams of the most prefixes, at most `p.most_heavy`, sorted."""
-    first = docs.mapInArrow(_prefixes(p, np.empty(0, np.uint64)), PREFIXES)
-    counts = first.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("count"))
-    rows = counts.filter(F.col("count") >= p.heavy).orderBy(F.desc("count"), "token").limit(p.most_heavy).select("token").toArrow()
-    return np.sort(rows.column("token").to_numpy().astype(np.int64).view(np.uint64))
+    """The n-grams of the most prefixes, at most `p.most_heavy`, as sorted short hashes.
+
+    Prefixes are counted by the first 40 bits of a hash, so that few bytes move; n-grams
+    that share them move to the end of the order together, which no result depends on.
+    """
+    first = docs.mapInArrow(_prefixes(p, np.empty(0, np.uint64)), PREFIXES).select("tokens")
+    blobs = first.mapInArrow(_counted, "bucket int, counts binary").repartition("bucket").sortWithinPartitions("bucket")
+    counts = blobs.mapInArrow(_often(p), "token long, count long")
+    rows = counts.orderBy(F.desc("count"), "token").limit(p.most_heavy).select("token").toArrow()
+    return np.sort(rows.column("token").to_numpy().astype(np.uint64))
+
+
+#: Rows of units or of the grid up to which they are sent to every task instead of shuffled with the sets.
+SENT_ROWS = 200_000
 
 
 UNIT = ("size", "slices", "least_n", "most_n", "first_end", "final_end")
@@ -282,7 +343,8 @@ def grid_of(lists: DataFrame, p: JaccardJoin) -> tuple[DataFrame, DataFrame]:
 
 def blocks_of(lists: DataFrame, grid: DataFrame, units: DataFrame) -> DataFrame:
     """The members of every block, sorted within it."""
-    members = lists.join(units.select("home", "band", "slices"), ["home", "band"])
+    units, grid = (F.broadcast(t) if t.count() <= SENT_ROWS else t for t in (units.select("home", "band", "slices"), grid))
+    members = lists.join(units, ["home", "band"])
     members = members.withColumn("slice", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int"))
     columns = ("cls", "n", "tokens", "last")
     members = members.select("home", "band", "slice", *columns)
@@ -296,12 +358,12 @@ def blocks_of(lists: DataFrame, grid: DataFrame, units: DataFrame) -> DataFrame:
 def whole_sets(classes: DataFrame, docs: DataFrame, p: JaccardJoin) -> DataFrame:
     """(cls, grams) of `classes` (cls, doc_id), from the text of a document of each class.
 
-    A Bloom filter of the ids drops other documents before anything is shuffled.
+    A Bloom filter of the ids drops other documents before anything is shuffled; what it
+    lets through besides has a class that is not asked for, or the same set.
     """
     filled, blocks = bloom_blocks(classes.select(F.col("doc_id").cast("string").alias("key")), classes.count())
     possible = bloom_hits(docs.withColumn("key", F.col("doc_id").cast("string")), filled, blocks).select("doc_id", "text")
-    sets = possible.mapInArrow(_whole_sets(p), "doc_id long, cls long, grams binary")
-    return sets.join(classes, ["doc_id", "cls"]).dropDuplicates(["cls"]).select("cls", "grams")
+    return possible.mapInArrow(_whole_sets(p), "cls long, grams binary").dropDuplicates(["cls"])
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", p: JaccardJoin = JaccardJoin()) -> DataFrame:
