@@ -155,7 +155,7 @@ def lasso_closed_form(spark, folder):
     counts = {f: {} for f in folds}
     for r in rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["fold"]][r["y"]] = r["n"]
-    fits = linear.fit_many(blocks, tr.logistic_problems(counts, _LASSO), {f: [g for g in folds if g != f] for f in folds}, 1)
+    fits = linear.fit_many(blocks, tr.logistic_problems(counts, _LASSO), {f: [g for g in folds if g != f] for f in folds}, 1, tolerance=1e-11)
     found = [(p.name, p.group, float(w), float(b)) for p, (w, b) in zip(fits.problems, fits.coefficients, strict=True)]
     table = spark.createDataFrame(found, "candidate string, fold int, weight double, intercept double")
     return table.withColumns({c: v.r6(c, 4) for c in ("weight", "intercept")})
