@@ -232,7 +232,7 @@ def _links(p: JaccardJoin):
 
 #: Bits of an n-gram's hash left out when prefixes are counted, and its first bits, which name a bucket.
 SHORT, BUCKET = np.uint64(24), 10
-COUNTED = 1 << 21
+COUNTED = 1 << 19
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

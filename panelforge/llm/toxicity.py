@@ -123,13 +123,13 @@ def _shard_pass(weight: float, p: Ftrl):
         z, n = np.zeros(size), np.zeros(size)
         for at, some_z, some_n in _unpack(state):
             z[at], n[at] = some_z, some_n
-        before, found = n.copy(), []
+        before = n.copy()
         if rows.empty:
             return _pack(before, before[:0], z, n)
         rows = rows.assign(order=mix(rows["doc_id"].to_numpy().astype(np.uint64))).sort_values(["order", "text"], kind="stable")
-        for _, hashes, offsets in word_hashes(pa.array(rows["text"]), p.stems):
-            found.extend(features(hashes, offsets, p))
-        learn(found, rows["y"].to_numpy(), z, n, p, weight)
+        y = rows["y"].to_numpy()
+        for first, hashes, offsets in word_hashes(pa.array(rows["text"]), p.stems):
+            learn(features(hashes, offsets, p), y[first : first + len(offsets) - 1], z, n, p, weight)
         at = np.flatnonzero(n != before)
         return _pack(at % p.ranges, at, z[at], n[at])
 
