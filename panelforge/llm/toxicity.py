@@ -5,9 +5,10 @@ feature; pairs are neighbours or skip words in between.
 
 Training rows are dealt to shards of about `shard_rows`. In each round every shard continues
 from the shared state with per-coordinate rates, and the states are averaged per
-coordinate over the shards that touched it. The state stays in a table of the shared
-folder, as a few ranges of coordinates of one row each; the driver never holds it. The L1
-term leaves few weights, and only those are collected and broadcast for scoring.
+coordinate over the shards that touched it. The state is a table in the shared folder, of a
+few ranges of coordinates with one row each; a round's shards get it as one broadcast of
+packed arrays, at most 20 bytes for each of 2^bits coordinates, dropped after the round. The
+L1 term leaves few weights, and only those are collected and broadcast for scoring.
 """
 
 from __future__ import annotations
@@ -115,17 +116,15 @@ def _unpack(rows: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
     return [tuple(np.frombuffer(row[c], kind) for c, kind in kinds.items()) for row in rows.to_dict("records")]
 
 
-def _shard_pass(weight: float, p: Ftrl):
+def _shard_pass(weight: float, p: Ftrl, sent):
     """The state of the coordinates that a shard's rows touched, after one pass over them."""
 
-    def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         size = (1 << p.bits) + 1
         z, n = np.zeros(size), np.zeros(size)
-        for at, some_z, some_n in _unpack(state):
+        for at, some_z, some_n in _unpack(pd.DataFrame(sent.value, columns=["at", "z", "n"])):
             z[at], n[at] = some_z, some_n
         before = n.copy()
-        if rows.empty:
-            return _pack(before, before[:0], z, n)
         rows = rows.assign(order=mix(rows["doc_id"].to_numpy().astype(np.uint64))).sort_values(["order", "text"], kind="stable")
         y = rows["y"].to_numpy()
         for first, hashes, offsets in word_hashes(pa.array(rows["text"]), p.stems):
@@ -185,13 +184,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", p: Ftrl = Ftrl
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
     state, place = written(spark.createDataFrame([], STATE), "ftrl")
     for _ in range(p.rounds):
-        shared = state.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        moved = dealt.groupBy("shard").cogroup(shared.groupBy("shard"))
-        moved = moved.applyInPandas(_shard_pass(weight, p), STATE)
+        # bounded: one row per range, the packed state of 2^bits coordinates
+        sent = spark.sparkContext.broadcast([(bytes(r["at"]), bytes(r["z"]), bytes(r["n"])) for r in state.collect()])
+        moved = dealt.groupBy("shard").applyInPandas(_shard_pass(weight, p, sent), STATE)
         mean = moved.groupBy("part").cogroup(state.groupBy("part")).applyInPandas(_average(p), STATE)
         before = place
         state, place = written(mean, "ftrl")
         discard(spark, before)
+        sent.destroy()
     # bounded: one row per range, with the weights that L1 leaves of 2^bits
     found = state.mapInArrow(_weights(p), "at binary, w binary").collect()
     at = np.concatenate([np.frombuffer(r["at"], np.int32) for r in found]).astype(np.int64)
