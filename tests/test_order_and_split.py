@@ -127,3 +127,15 @@ def test_held_out_rows_give_no_answers(spark):
     some = impute_in_order(df, "id", steps, ["a", "s"], k=2, donors="gives")
     assert every.where("id = 1").first()["s"] == "x" and some.where("id = 1").first()["s"] == "y"
     assert some.columns == df.columns
+
+
+def test_cut_tables_have_the_size_of_their_files(spark, capsys):
+    from panelforge.session import cut
+
+    df = spark.range(50).withColumn("x", F.col("id") % 7)
+    for _ in range(6):
+        # estimates of joined checkpoints are products, with twice the digits each time
+        df = cut(df.join(df.withColumnRenamed("x", "y"), "id").select("id", "x"))
+    df.explain(mode="cost")
+    assert "EiB" not in capsys.readouterr().out
+    assert df.count() == 50
