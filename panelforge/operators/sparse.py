@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelforge.functions.keyed import named
 from panelforge.operators.encode import moments, standardised
 from panelforge.operators.ranks import in_order
-from panelforge.session import cut
+from panelforge.session import cut, scratch_path
 
 #: Level tables up to this size are sent to every task; larger ones are joined by value.
 SENT_LEVELS = 100_000
@@ -39,22 +39,37 @@ class SparseDesign:
         return len(self.numeric) + sum(self.sizes[c] - 1 for c in self.encoded)
 
     def apply(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """The columns `keep` and the vector `features` of every row."""
+        """The columns `keep` and the sparse vector `features` of every row, as a written table.
+
+        A vector is written as its parts and read as a vector: encoders and assemblers
+        would name every place in the column's metadata, which the driver holds.
+        """
         scaled = [standardised(c, *self.numeric[c]).alias(f"__n{i}") for i, c in enumerate(self.numeric)]
         rows = df.select(*[named(c) for c in keep], *scaled, *[named(c).alias(f"__v{i}") for i, c in enumerate(self.encoded)])
+        missing = F.raise_error(F.lit("a numeric feature is null or NaN"))
+        places = []
+        for i in range(len(self.numeric)):
+            x = F.col(f"__n{i}")
+            places.append(F.struct(F.lit(i).alias("position"), F.when(x.isNull() | F.isnan(x), missing.cast("double")).otherwise(x).alias("value")))
+        start = len(self.numeric)
         for i, c in enumerate(self.encoded):
             table = self.tables[c].select(F.col("value").alias(f"__t{i}"), F.col("code").alias(f"__c{i}"))
             table = F.broadcast(table) if self.sizes[c] <= SENT_LEVELS else table
-            # the last place is left out of the vector: the first level's, and that of unknown values
-            place = F.coalesce(F.pmod(F.col(f"__c{i}") - 1, F.lit(self.sizes[c])), F.lit(self.sizes[c] - 1)).cast("double")
-            known = {"ml_attr": {"type": "nominal", "num_vals": self.sizes[c]}}
             rows = rows.join(table, F.col(f"__v{i}") == F.col(f"__t{i}"), "left").drop(f"__t{i}")
-            rows = rows.withColumn(f"__i{i}", place).withMetadata(f"__i{i}", known)
-        places, hots = [f"__i{i}" for i in range(len(self.encoded))], [f"__h{i}" for i in range(len(self.encoded))]
-        if places:
-            rows = OneHotEncoder(inputCols=places, outputCols=hots, dropLast=True).fit(rows).transform(rows)
-        inputs = [*[f"__n{i}" for i in range(len(self.numeric))], *hots]
-        return VectorAssembler(inputCols=inputs, outputCol="features").transform(rows).select(*[named(c) for c in keep], "features")
+            # the first level and unknown values have no place
+            known = F.when(F.col(f"__c{i}") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+            places.append(F.struct((F.coalesce(F.col(f"__c{i}"), F.lit(0)) - 1 + start).cast("int").alias("position"), known.alias("value")))
+            start += self.sizes[c] - 1
+        used = F.filter(F.array(*places), lambda p: p["value"] != 0.0) if places else F.expr("cast(array() as array<struct<position int, value double>>)")
+        parts = F.struct(
+            F.lit(0).cast("byte").alias("type"), F.lit(self.width()).alias("size"),
+            F.transform("__used", lambda p: p["position"]).alias("indices"), F.transform("__used", lambda p: p["value"]).alias("values"),
+        )
+        made = rows.withColumn("__used", used).select(*[named(c) for c in keep], parts.alias("features"))
+        path = scratch_path(df.sparkSession, "vectors")
+        made.write.parquet(path)
+        fields = [*made.schema.fields[:-1], T.StructField("features", VectorUDT())]
+        return df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
 
     def names(self, spark) -> DataFrame:
         """(position, name) of the vector's places."""

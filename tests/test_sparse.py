@@ -30,3 +30,5 @@ def test_many_levels_fit(spark):
     model = LogisticRegression(labelCol="y", maxIter=2).fit(table)
     assert made.width() > 20_000 and model.numFeatures == made.width()
     assert table.select(F.max(F.size(sp.nonzero()))).first()[0] == 1
+    # names of all places would have to fit the driver
+    assert not table.schema["features"].metadata
