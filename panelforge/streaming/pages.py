@@ -10,9 +10,17 @@ from panelforge.sources.pages import PAGE_SCHEMA
 
 
 def page_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files: int | None = None) -> DataFrame:
-    """Pages as they arrive; `files` bounds the files of one micro-batch."""
-    stream = spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", pattern)
-    return (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(folder)
+    """Pages as they arrive; `files` bounds the files of one micro-batch.
+
+    A `pattern` without wildcards names one table in the folder, a file or a folder of files.
+    """
+    stream = spark.readStream.schema(PAGE_SCHEMA)
+    if any(c in pattern for c in "*?[{"):
+        stream, path = stream.option("pathGlobFilter", pattern), folder
+    else:
+        # A path with a wildcard may lead to a file as well as to a folder.
+        path = f"{folder.rstrip('/')}/{pattern[:-1]}[{pattern[-1]}]"
+    return (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

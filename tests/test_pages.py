@@ -175,3 +175,25 @@ def test_incremental_job_stores_each_page_once(spark, tmp_path, pages):
     assert got.count() == want.count() == 3 and got.exceptAll(want).count() == 0
     append_parsed(page_stream(spark, source), parse, out, state)
     assert spark.read.parquet(out).count() == 3
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_a_named_table_is_a_file_or_a_folder(spark, tmp_path, pages, single):
+    folder = tmp_path / "tables"
+    pages.select("page_id").coalesce(1).write.parquet(str(folder / "other.parquet"))
+    pages.repartition(2).write.parquet(str(folder / "pages.parquet"))
+    if single:
+        one = tmp_path / "one"
+        pages.coalesce(1).write.parquet(str(one))
+        folder = tmp_path / "files"
+        folder.mkdir()
+        next(one.glob("*.parquet")).rename(folder / "pages.parquet")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    append_parsed(page_stream(spark, str(folder), "pages.parquet"), lambda p: p.select("page_id"), out, state)
+    assert spark.read.parquet(out).count() == pages.select("page_id").distinct().count()
+
+
+def test_rejects_without_markup(spark, pages):
+    bare = pg.parse_rejects(pages, block=False)
+    assert bare.columns == ["page_id", "position", "drug_name"]
+    assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, pg.parse_rejects(pages).drop("block").collect()))
