@@ -98,7 +98,7 @@ def review_records(spark, folder):
     f"WITH {v._REVIEW_ROWS} SELECT o_orderkey AS page_id, 3 AS position, lower(c_mktsegment) AS drug_name FROM review_rows WHERE o_orderkey % 10 = 0",
 )
 def review_rejects(spark, folder):
-    return pg.parse_rejects(v.review_pages(spark, folder)).drop("block")
+    return pg.parse_rejects(v.review_pages(spark, folder), block=False)
 
 
 _CLEAN = f"""{v.REVIEWS}, cleaned AS (SELECT CASE adherence WHEN 'Always' THEN '4' WHEN 'Usually' THEN '3' WHEN 'Sometimes' THEN '2'

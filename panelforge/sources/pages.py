@@ -185,10 +185,13 @@ def parse_reviews(pages: DataFrame, drug: Column | None = None, personal: bool =
     return _once(_records(pages, drug), {n: F.col(n) for n in ("page_id", "position", *fields)}, F.col("__whole"))
 
 
-def parse_rejects(pages: DataFrame) -> DataFrame:
-    """Blocks that miss a required part, for inspection; the run goes on without them."""
-    rejected = {n: F.col(n) for n in ("page_id", "position", "drug_name", "block")}
-    return _once(_records(pages, drug_of_url(), block=True), rejected, ~F.col("__whole"))
+def parse_rejects(pages: DataFrame, block: bool = True) -> DataFrame:
+    """Blocks that miss a required part, for inspection; the run goes on without them.
+
+    Without `block` their markup is not carried through the steps.
+    """
+    rejected = {n: F.col(n) for n in ("page_id", "position", "drug_name", *(["block"] if block else []))}
+    return _once(_records(pages, drug_of_url(), block=block), rejected, ~F.col("__whole"))
 
 
 def flat_conditions(reviews: DataFrame) -> DataFrame:
