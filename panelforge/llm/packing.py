@@ -32,10 +32,10 @@ class Islands:
     """Pieces of a shard, islands of a shard, groupings of an island, children of a round."""
 
     shard_pieces: int = 4000
-    islands: int = 2
-    population: int = 3
-    children: int = 4
-    rounds: int = 2
+    islands: int = 4
+    population: int = 6
+    children: int = 16
+    rounds: int = 3
     seed: int = 3
 
 
@@ -133,10 +133,11 @@ def evolve(sizes: np.ndarray, visitors: list[np.ndarray], capacity: int, p: Isla
     """The best grouping an island finds, starting from its own population and `visitors`."""
     random = np.random.default_rng(seed)
     people = [*visitors, grouping(sizes, capacity)]
-    while len(people) < p.population:
+    least = -int(np.ceil(sizes.sum() / capacity))
+    # nothing has fewer bins than the bound
+    while len(people) < p.population and merit(people[-1], sizes, capacity)[0] < least:
         people.append(grouping(sizes, capacity, random.integers(0, capacity // 16, len(sizes))))
     ranked = sorted(((merit(g, sizes, capacity), k, g) for k, g in enumerate(people)), key=lambda x: (x[0], -x[1]), reverse=True)
-    least = -int(np.ceil(sizes.sum() / capacity))
     for step in range(p.children):
         if ranked[0][0][0] >= least:
             break

@@ -140,3 +140,11 @@ def test_crossover_keeps_every_piece_and_the_capacity():
     assert (child >= 0).all() and np.bincount(child, sizes).max() <= 100
     best = packing.evolve(sizes, [], 100, packing.Islands(children=20), 4)
     assert packing.merit(best, sizes, 100) >= packing.merit(a, sizes, 100)
+
+
+def test_islands_search_beyond_best_fit():
+    p, sizes = packing.Islands(), np.sort(np.random.default_rng(1).integers(500, 1100, 4000))[::-1].astype(np.int64)
+    elites = [packing.evolve(sizes, [], 2048, p, p.seed + 1000 * i) for i in range(p.islands)]
+    for step in range(1, p.rounds):
+        elites = [packing.evolve(sizes, [e, elites[i - 1]], 2048, p, p.seed + 1000 * i + 7919 * step) for i, e in enumerate(elites)]
+    assert max(packing.merit(e, sizes, 2048)[0] for e in elites) >= packing.merit(packing.grouping(sizes, 2048), sizes, 2048)[0] + 7
