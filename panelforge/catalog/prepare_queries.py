@@ -232,6 +232,13 @@ def nearest_neighbours(spark, folder):
 
 
 _WIDE = 24
+
+
+def _wide_unit(donors: int) -> int:
+    """Rows of a work unit: about four cells, of at least 32 rows and of no more than a task holds with ease."""
+    return max(32, min(262_144, donors // 4))
+
+
 _WIDE_VECTOR = "list_transform(range(1, 25), lambda i: floor(embedding[i]::DOUBLE * 50))"
 
 
@@ -244,13 +251,17 @@ _WIDE_VECTOR = "list_transform(range(1, 25), lambda i: floor(embedding[i]::DOUBL
     "SELECT vec_id, place::INTEGER AS rank, donor, distance FROM r WHERE place <= 5",
 )
 def nearest_neighbours_wide(spark, folder):
-    """Many dimensions and units so small that donors are cut into cells at any scale."""
+    """Many dimensions and units so small that donors are cut into cells at any scale.
+
+    In so many dimensions most cells are visited, and a row is sent once to each: the units
+    grow with the donors, so that the copies of a query do not.
+    """
     dims = [f"x{i}" for i in range(_WIDE)]
     values = [F.floor(F.get("embedding", F.lit(i)).cast("double") * 50).cast("double").alias(d) for i, d in enumerate(dims)]
     df = cut(read_table(spark, folder, "embeddings").select("vec_id", "label", *values).withColumn("vector", vector_text(dims)))
     queries, donors = df.where("label = 1"), df.where("label <> 1")
     near = nearest_join(
-        queries.dropDuplicates(["vector"]), first_per_vector(donors, "vector", "vec_id", 5), dims, 5, "vector", "vec_id", [], unit_rows=32
+        queries.dropDuplicates(["vector"]), first_per_vector(donors, "vector", "vec_id", 5), dims, 5, "vector", "vec_id", [], unit_rows=_wide_unit(donors.count())
     )
     return queries.select("vec_id", F.col("vector").alias("query")).join(near, "query").select("vec_id", "rank", "donor", "distance")
 

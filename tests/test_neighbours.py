@@ -228,3 +228,11 @@ def test_many_copies_of_few_rows_are_dealt_evenly(spark, monkeypatch, sent):
     if sent > 3:
         per_task = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
         assert max(per_task) < 2 * sum(per_task) / len(per_task)
+
+
+def test_units_of_many_dimensions_grow_with_the_donors():
+    from panelforge.catalog.prepare_queries import _wide_unit
+
+    assert _wide_unit(100) == 32
+    # the cells, and with them the copies of a query, stay the same
+    assert 1_000_000 / _wide_unit(1_000_000) < 5
