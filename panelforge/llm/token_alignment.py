@@ -83,7 +83,7 @@ class SpacedPieces:
         pieces = [self.tool.id_to_piece(i) for i in range(self.tool.get_piece_size())]
         self.tokens = TokenBytes([bytes([int(p[3:5], 16)]) if self.tool.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         crossed = any(re.search("[^▁]▁", p) for p in pieces)
-        self.segments = re.compile("(?s:.+)" if crossed else " *[^ ]+| +").findall
+        self.segments = re.compile("(?s:.+)" if crossed else "[ ▁]*[^ ▁]+|[ ▁]+").findall
         self.known: dict[str, list[int]] = {}
 
     def encode(self, values: list[str]) -> list[np.ndarray]:
@@ -93,8 +93,8 @@ class SpacedPieces:
         new = list({s for row in rows for s in row if s not in self.known})
         # the model adds each segment's first space; it gives no id at all for an empty text
         found = dict(zip(new, self.tool.encode([s[1:] for s in new], num_threads=1), strict=True)) if new else {}
-        if " " in found:
-            found[" "] = [self.tool.piece_to_id("▁")]
+        # the model writes a space as this mark, so the mark itself is one
+        found.update((s, [self.tool.piece_to_id("▁")]) for s in (" ", "▁") if s in found)
         self.known.update((s, ids) for s, ids in found.items() if len(s) <= SHORT)
         found = self.known | found if any(len(s) > SHORT for s in found) else self.known
         return [np.array([i for s in row for i in found[s]], np.int64) for row in rows]

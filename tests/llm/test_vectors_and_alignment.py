@@ -103,6 +103,12 @@ def test_segments_encode_as_whole_texts(text):
     assert tool.encode([text])[0].tolist() == tool.tool.encode(text)
 
 
+@pytest.mark.parametrize("text", ["▁ ", "▁", " ▁▁ a▁ b", "a ▁"])
+def test_the_space_mark_in_a_text_is_a_space(text):
+    tool = token_alignment.spaced_pieces()
+    assert tool.encode([text])[0].tolist() == tool.tool.encode(text)
+
+
 # --- product codes -------------------------------------------------------------------
 
 
