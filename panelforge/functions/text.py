@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as markup
+import json
 import re
 
 import pandas as pd
@@ -29,7 +30,7 @@ def address(template: str, *parts) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _all_references(rows: pd.Series) -> pd.Series:
-    return rows.map(lambda texts: [t if t is None else markup.unescape(t) for t in texts], na_action="ignore")
+    return rows.map(lambda texts: [t if t is None else markup.unescape(t) for t in json.loads(texts)], na_action="ignore")
 
 
 def _own_references(text: Column) -> Column:
@@ -43,11 +44,12 @@ def unescaped_all(column) -> Column:
     """Undo the character references in a list of texts.
 
     The five that markup itself needs are built-in replacements; only lists with any
-    other reference go through Python's table of them.
+    other reference go through Python's table of them, each as one text, as that is nearly
+    always null and the cheapest to hand over.
     """
     texts = as_column(column)
     other = F.exists(texts, lambda t: F.coalesce(t.rlike("&(?!(quot|#39|lt|gt|amp);)[#A-Za-z]"), F.lit(False)))
-    return F.coalesce(_all_references(F.when(other, texts)), F.transform(texts, _own_references))
+    return F.coalesce(_all_references(F.when(other, F.to_json(texts))), F.transform(texts, _own_references))
 
 
 def unescaped(column) -> Column:

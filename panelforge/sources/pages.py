@@ -6,9 +6,6 @@ only, over the whole text of a page, so it runs the same in batch and streaming.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelforge.functions import codebook as cb
@@ -88,32 +85,32 @@ def latest_evaluation(block="block") -> Column:
     return F.regexp_replace(word_at(block, 1, "<h3"), r"(?s)^.*?</h3>", "")
 
 
-def _whole_element(texts: pd.Series) -> pd.Series:
-    """Each text up to the end tag that closes the element it starts in."""
-
-    def cut(text: str) -> str:
-        depth = 1
-        for tag in re.finditer(r"<(/?)div\b[^>]*>", text):
-            depth += -1 if tag[1] else 1
-            if not depth:
-                return text[: tag.start()]
-        return text
-
-    return texts.map(cut, na_action="ignore")
+def _whole_element(text) -> Column:
+    """A text up to the end tag that closes the element it starts in."""
+    pieces = F.split(text, r"(?U)(?=</?div\b[^>]*>)")
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("taken"))
 
+    def step(at: Column, piece: Column) -> Column:
+        change = F.when(piece.rlike(r"(?U)^</div\b[^>]*>"), -1).when(piece.rlike(r"(?U)^<div\b[^>]*>"), 1).otherwise(0)
+        depth = F.when(at.depth > 0, at.depth + change).otherwise(0)
+        return F.struct(depth.alias("depth"), (at.taken + (depth > 0).cast("int")).alias("taken"))
 
-_nested = F.pandas_udf(_whole_element, T.StringType())
+    return F.array_join(F.slice(pieces, F.lit(1), F.aggregate(pieces, start, step, lambda at: at.taken)), "")
 
 
 def _headed(section, label: str, ending: str) -> Column:
     """What follows the start of the element after a heading, up to `ending`."""
-    return F.regexp_extract(section, rf"(?s)<span[^>]*>{label}</span>\s*</div>\s*<div[^>]*>{ending}", 1)
+    return F.regexp_extract(section, rf"(?s)<span[^>]*+>{label}</span>\s*+</div>\s*+<div[^>]*+>{ending}", 1)
 
 
 def _paragraph(block, label: str) -> Column:
-    """Markup of the element that a bold label opens, of whatever kind; empty when there is none."""
-    pattern = rf"(?s)<([A-Za-z]\w*)(?:\s[^>]*)?>([^<]*<strong[^>]*>{label}</strong>.*?)</\1>"
-    return F.regexp_extract(block, pattern.replace("&", "&amp;"), 2)
+    """Markup of the element that a bold label opens, of whatever kind; empty when there is none.
+
+    Blocks without the label are not searched, and no part of the pattern is tried shorter.
+    """
+    label = f"{label}</strong>".replace("&", "&amp;")
+    pattern = rf"(?s)<([A-Za-z]\w*+)(?:\s[^>]*+)?+>([^<]*+<strong[^>]*+>{label}.*?)</\1>"
+    return F.when(~F.contains(block, F.lit(label)), "").otherwise(F.regexp_extract(block, pattern, 2))
 
 
 def _once(df: DataFrame, columns: dict[str, Column], keep: Column | None = None) -> DataFrame:
@@ -130,7 +127,7 @@ def _records(pages: DataFrame, drug: Column, block: bool = False) -> DataFrame:
     """Blocks with every field and a mark for those that have the required parts.
 
     Each step is worked out once and read several times by the next one. Python sees the
-    elements with another one of their kind inside, and the texts with rare references.
+    texts with rare references.
     """
     own = ["page_id", "position", "drug_name"]
     same = lambda *names: {n: F.col(n) for n in names}
@@ -142,7 +139,7 @@ def _records(pages: DataFrame, drug: Column, block: bool = False) -> DataFrame:
             **same(*kept),
             "__props": F.regexp_extract("block", 'data-react-props="([^"]*)"', 1),
             "__section": latest_evaluation(),
-            **{name: without_tags(_paragraph("block", label)) for name, label in cb.OPTIONAL_FIELDS.items()},
+            **{name: without_tags(_paragraph(F.col("block"), label)) for name, label in cb.OPTIONAL_FIELDS.items()},
         },
     )
     short = {name: _headed("__section", label, "(.*?)</div>") for name, label in cb.HEADED_FIELDS.items()}
@@ -151,7 +148,7 @@ def _records(pages: DataFrame, drug: Column, block: bool = False) -> DataFrame:
         f"__whole_{name}": F.when(F.col(name).rlike(r"<div\b"), _headed("__section", label, "(.*)")) for name, label in cb.HEADED_FIELDS.items()
     }
     found = _once(found, {**same(*kept, "__props", *cb.OPTIONAL_FIELDS, *cb.HEADED_FIELDS), **inner})
-    headed = [word_at(without_tags(F.coalesce(_nested(f"__whole_{n}"), F.col(n))), 2, "\n") for n in cb.HEADED_FIELDS]
+    headed = [word_at(without_tags(F.coalesce(_whole_element(f"__whole_{n}"), F.col(n))), 2, "\n") for n in cb.HEADED_FIELDS]
     texts = found.select(*kept, F.array("__props", *headed, *cb.OPTIONAL_FIELDS).alias("__texts"))
     texts = _once(texts, same(*kept, "__texts")).select(*kept, unescaped_all("__texts").alias("__texts"))
     plain = {name: F.col("__texts")[i] for i, name in enumerate(["__props", *cb.HEADED_FIELDS, *cb.OPTIONAL_FIELDS])}

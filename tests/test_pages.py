@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.functions import codebook as cb
-from panelforge.functions.text import unescaped
+from panelforge.functions.text import unescaped, unescaped_all
 from panelforge.sources import pages as pg
 from panelforge.sources.tables import read_csv, write_csv
 from panelforge.streaming.pages import append_parsed, page_stream, progress
@@ -111,6 +111,29 @@ def test_nested_markup_in_a_field(spark):
     assert (row["side_effects"], row["adherence"]) == ("Mild or less", "Usually")
 
 
+def test_only_rare_references_leave_the_engine(spark):
+    """Nested elements are cut by expressions, and Python is handed one text for each list, not the list."""
+    whole = "a<div>b<div class='x'>c</div></div>d</div>e</div><p>f"
+    texts = [whole, "<div>never closed", "</div>x", "no tags", "a<divan></divan>b</div>c", "é<div\n>x</div\n>y</div >z", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pg._whole_element(F.col("t")).alias("u"))
+    assert {r["t"]: r["u"] for r in df.collect()} == {
+        whole: "a<div>b<div class='x'>c</div></div>d",
+        "<div>never closed": "<div>never closed",
+        "</div>x": "",
+        "no tags": "no tags",
+        "a<divan></divan>b</div>c": "a<divan></divan>b",
+        "é<div\n>x</div\n>y</div >z": "é<div\n>x</div\n>y",
+        "": "",
+        None: None,
+    }
+    lists = [['&eacute;"\\', None, "&quot;", "\n&#x1F600;"], ["&lt;", None], None]
+    got = spark.createDataFrame([(x,) for x in lists], "t array<string>").select(unescaped_all("t").alias("u"))
+    assert [r["u"] for r in got.collect()] == [['é"\\', None, '"', "\n😀"], ["<", None], None]
+    page = spark.createDataFrame([(1, "https://reviews.example/browse/x?b", block(PROFILE))], pg.PAGE_SCHEMA)
+    plan = pg.parse_reviews(page)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 @pytest.mark.parametrize("kind", ["p", "li", "section"])
 def test_optional_fields_in_elements_of_any_kind(spark, kind):
     page = block(PROFILE, extras=EXTRAS.replace("<p>", f"<{kind} class='x'>").replace("</p>", f"</{kind}>"))
