@@ -15,6 +15,8 @@ from panelforge.sources.tables import load_keys, read_csv, read_table, save_keys
 from panelforge.session import scratch_path
 from panelforge.streaming.pages import append_parsed, page_stream
 
+MOST_BATCHES = 10
+
 _WORDS = """words AS (SELECT page_id, lower(split_part(w, ' ', 1)) AS word FROM
   (SELECT page_id, unnest(regexp_extract_all(html, '<li><a[^>]*>([^<]*)', 1)) AS w FROM pages))"""
 
@@ -161,7 +163,9 @@ def key_words_in_batches(spark, folder):
     again = pages.withColumn("html", F.concat("html", F.lit("<ul><li><a>again</a></li></ul>")))
     for part in [*parts, again]:
         part.write.mode("append").parquet(arrived)
-    append_parsed(page_stream(spark, arrived, files=2), lambda p: pg.key_words(p, "li"), out, state)
+    # Each batch costs seconds of its own and meets all keys before, so their number stays and their size grows.
+    files = max(2, -(-len(spark.read.parquet(arrived).inputFiles()) // MOST_BATCHES))
+    append_parsed(page_stream(spark, arrived, files=files), lambda p: pg.key_words(p, "li"), out, state)
     return spark.read.parquet(out).groupBy("page_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -220,3 +220,20 @@ def test_rejects_without_markup(spark, pages):
     bare = pg.parse_rejects(pages, block=False)
     assert bare.columns == ["page_id", "position", "drug_name"]
     assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, pg.parse_rejects(pages).drop("block").collect()))
+
+
+def test_batches_grow_instead_of_their_number(spark, tmp_path, monkeypatch):
+    from panelforge.catalog import page_queries as pq
+
+    made = [(i, "u", f"<ul><li><a href='#'>Word{i % 3} x</a></li></ul>") for i in range(60)]
+    spark.createDataFrame(made, pg.PAGE_SCHEMA).repartition(8).write.parquet(str(tmp_path / "pages.parquet"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "256m")  # a task, and so a written file, for each file
+    queries = []
+    monkeypatch.setattr(pq, "append_parsed", lambda *a: queries.append(append_parsed(*a)))
+    try:
+        got = pq.key_words_in_batches(spark, str(tmp_path))
+        assert sorted((r["page_id"], r["word"], r["n"]) for r in got.collect()) == [(i, f"word{i % 3}", 1) for i in range(60)]
+        assert 3 <= len(progress(queries[0])) <= pq.MOST_BATCHES
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
