@@ -281,14 +281,19 @@ def _often(p: JaccardJoin):
     return run
 
 
+def prefix_counts(docs: DataFrame, p: JaccardJoin) -> DataFrame:
+    """The blobs of `_counted`. Both steps run in one Python worker: of two in a row each keeps its own alive."""
+    prefixes = _prefixes(p, np.empty(0, np.uint64))
+    return docs.mapInArrow(lambda batches: _counted(prefixes(batches)), "bucket int, counts binary")
+
+
 def heavy_tokens(docs: DataFrame, p: JaccardJoin) -> np.ndarray:
     """The n-grams of the most prefixes, at most `p.most_heavy`, as sorted short hashes.
 
     Prefixes are counted by the first 40 bits of a hash, so that few bytes move; n-grams
     that share them move to the end of the order together, which no result depends on.
     """
-    first = docs.mapInArrow(_prefixes(p, np.empty(0, np.uint64)), PREFIXES).select("tokens")
-    blobs = first.mapInArrow(_counted, "bucket int, counts binary").repartition("bucket").sortWithinPartitions("bucket")
+    blobs = prefix_counts(docs, p).repartition("bucket").sortWithinPartitions("bucket")
     counts = blobs.mapInArrow(_often(p), "token long, count long")
     rows = counts.orderBy(F.desc("count"), "token").limit(p.most_heavy).select("token").toArrow()
     return np.sort(rows.column("token").to_numpy().astype(np.uint64))

@@ -109,6 +109,15 @@ def test_first_of_groups_by_id_and_text(spark, monkeypatch):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_prefixes_are_counted_in_one_python_step(spark):
+    p = ngram_join.JaccardJoin()
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(k, k + 30))) for k in range(20)], "doc_id long, text string")
+    counted = ngram_join.prefix_counts(docs, p)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert counted.count() and list(ngram_join.heavy_tokens(docs, ngram_join.JaccardJoin(heavy=2)))
+
+
 def test_bounds_lose_no_linked_pair():
     p = ngram_join.JaccardJoin()
     for a in range(1, 60):
