@@ -9,11 +9,12 @@ from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.functions import codebook as cb
@@ -277,17 +278,47 @@ def choose_c(
     numbered = cut(stratified_folds(keyed.select("row", LABEL, "features"), "row", LABEL, folds, 12))
     rows = numbered.count() * (folds - 1) / folds
     estimator = md.tuned_logistic(LABEL, int(rows))
-    grid = ParamGridBuilder().addGrid(
-        estimator.regParam, [md.penalty_for(c, rows * cb.CLASS_WEIGHTS[0]) for c in c_values]
-    )
-    return CrossValidator(
+    penalties = [md.penalty_for(c, rows * cb.CLASS_WEIGHTS[0]) for c in c_values]
+    validator = CrossValidator(
         estimator=estimator,
-        estimatorParamMaps=grid.build(),
+        estimatorParamMaps=ParamGridBuilder().addGrid(estimator.regParam, penalties).build(),
         evaluator=evaluator or MulticlassClassificationEvaluator(labelCol=LABEL, metricName="accuracy"),
         foldCol="fold",
         numFolds=folds,
         parallelism=parallelism,
-    ).fit(numbered)
+    )
+    if evaluator is not None:
+        return validator.fit(numbered)
+    values = fold_accuracies(numbered, penalties, len(columns), folds)
+    means = values.mean(axis=1)
+    best = estimator.fit(numbered, {estimator.regParam: penalties[int(means.argmax())]})
+    return validator._copyValues(CrossValidatorModel(best, means.tolist(), stdMetrics=values.std(axis=1).tolist()))
+
+
+def fold_accuracies(numbered: DataFrame, penalties: Sequence[float], features: int, folds: int) -> np.ndarray:
+    """Accuracy by penalty and fold of L1 fits on the other folds of (label, features, fold).
+
+    The fits of all folds and penalties share their passes over the rows.
+    """
+    # one row per fold
+    counts = {r["fold"]: r["count"] for r in numbered.groupBy("fold").count().collect()}
+    if any(f not in counts for f in range(folds)):
+        raise ValueError("a fold has no rows")
+    total = sum(counts.values())
+    # a penalty on the mean loss is one on the summed loss times the rows
+    problems = [
+        linear.Problem(f"penalty={s:g}", f, 1.0 / (s * (total - counts[f])), True) for s in penalties for f in range(folds)
+    ]
+    plain = numbered.select(F.col("fold").alias("part"), F.col(LABEL).alias("y"), vector_to_array("features").alias("x"))
+    blocks = linear.row_blocks(plain, "part", "y", "x")
+    others = {f: [g for g in range(folds) if g != f] for f in range(folds)}
+    fits = linear.fit_many(blocks, problems, others, features)
+    counted = linear.outcome_counts_many(blocks, fits, {f: [f] for f in range(folds)}).select("problem", mt.accuracy().alias("value"))
+    values = np.zeros(len(problems))
+    # one row per problem
+    for r in counted.collect():
+        values[r["problem"]] = r["value"]
+    return values.reshape(len(penalties), folds)
 
 
 def chosen_c_table(spark: SparkSession, validator, c_values: Sequence[float]) -> DataFrame:

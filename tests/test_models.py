@@ -109,6 +109,21 @@ def test_searches(spark, table):
     assert tr.chosen_c_table(spark, chosen, [1e-6, 1.0]).count() == 2
 
 
+def test_penalties_share_passes(spark, table):
+    """All folds and penalties take few passes, and the scores are those of single fits."""
+    values, rounds = [1e-4, 0.1, 100.0], 3
+    seen = []
+    fit_many = tr.linear.fit_many
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tr.linear, "fit_many", lambda *a: seen.append(fit_many(*a)) or seen[-1])
+        chosen = tr.choose_c(table, COLUMNS, rounds, values)
+    assert len(seen) == 1 and len(seen[0].problems) == 9 and seen[0].passes < 60
+    single = tr.choose_c(table, COLUMNS, rounds, values, tr.MulticlassClassificationEvaluator(labelCol=ft.LABEL, metricName="accuracy"))
+    assert np.allclose(chosen.avgMetrics, single.avgMetrics, atol=0.01)
+    assert chosen.getNumFolds() == rounds and len(chosen.stdMetrics) == 3
+    assert chosen.bestModel.getRegParam() in [m[p] for m in chosen.getEstimatorParamMaps() for p in m]
+
+
 def test_grids_have_the_published_size():
     g, f = cb.LOGISTIC_GRID, cb.FOREST_GRID
     assert len(g["l1_share"]) * len(g["C"]) * len(g["class_weight"]) == 80
