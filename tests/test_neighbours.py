@@ -236,3 +236,34 @@ def test_units_of_many_dimensions_grow_with_the_donors():
     assert _wide_unit(100) == 32
     # the cells, and with them the copies of a query, stay the same
     assert 1_000_000 / _wide_unit(1_000_000) < 5
+
+
+@pytest.mark.parametrize("direct", [0, 1 << 30])
+@pytest.mark.parametrize("gaps", [False, True])
+def test_tree_and_direct_matching_agree(spark, monkeypatch, direct, gaps):
+    monkeypatch.setattr(nb, "ROWS_PER_UNIT", 37)
+    monkeypatch.setattr(nb, "DIRECT_PAIRS", direct)
+    built, build = [], bt.build
+    monkeypatch.setattr(bt, "build", lambda *a: built.append(1) or build(*a))
+    rng = np.random.default_rng(13)
+    points = rng.integers(0, 12, (300, 3)).astype(float)
+    if gaps:
+        points[rng.random(points.shape) < 0.15] = np.nan
+    points[100:150] = [5.0, 5.0, 5.0]
+    queries, donors = {i: points[i] for i in range(80)}, {i: points[i] for i in range(80, 300)}
+    q, d = cut(frame(spark, queries, "q")), cut(frame(spark, donors, "d"))
+    got = answers(nb.nearest_join(q, d, DIMS, 4, "q", "d", ["a"], total=5))
+    assert got == {k: v for k, v in brute(queries, donors, 4, 5).items() if v}
+    assert len(built) == (0 if direct else 1)
+
+
+def test_nothing_to_match(spark):
+    q, d = cut(frame(spark, {1: np.array([0.0, 0, 0])}, "q")), cut(frame(spark, {2: np.array([1.0, 0, 0])}, "d"))
+    assert nb.nearest_join(q.where("q < 0"), d, DIMS, 4, "q", "d", []).count() == 0
+    assert nb.nearest_join(q, d.where("d < 0"), DIMS, 4, "q", "d", []).count() == 0
+
+
+def test_vectors_are_equal_by_value_and_gap(spark):
+    rows = [(1, 0.0, None), (2, -0.0, None), (3, None, 0.0), (4, float("nan"), 0.0), (5, float("nan"), -0.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").withColumn("v", nb.vector_key(["a", "b"]))
+    assert sorted(r["id"] for r in nb.first_per_vector(df, "v", "id", 1).collect()) == [1, 3, 4]
