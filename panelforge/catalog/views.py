@@ -7,7 +7,7 @@ same definition in SQL for the comparison.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelforge.functions.keyed import keyed_uniform
 from panelforge.sources.tables import read_table
@@ -47,7 +47,8 @@ def customer_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.lit(1)).alias("items")
     )
     orders = read_table(spark, folder, "orders")
-    latest = F.struct("o_orderdate", "o_orderkey")
+    # Only numbers and dates are aggregated, which fit the rows of a hash table; texts would
+    # have all orders sorted, and so the facts of the latest order are picked as a row.
     facts = (
         orders.join(items, "o_orderkey", "left")
         .groupBy("o_custkey")
@@ -55,9 +56,6 @@ def customer_orders(spark: SparkSession, folder: str) -> DataFrame:
             F.count(F.lit(1)).alias("n_orders"),
             F.coalesce(F.sum("items"), F.lit(0)).alias("n_items"),
             F.sum("o_totalprice").alias("sum_price"),
-            F.max_by("o_totalprice", latest).alias("last_price"),
-            F.max_by("o_orderstatus", latest).alias("last_status"),
-            F.max_by("o_orderpriority", latest).alias("last_priority"),
             F.max("o_orderdate").alias("last_date"),
             F.min("o_orderdate").alias("first_date"),
             F.max(
@@ -65,6 +63,22 @@ def customer_orders(spark: SparkSession, folder: str) -> DataFrame:
             ).alias("urgent98"),
         )
     )
+    newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    latest = (
+        orders.where("o_custkey is not null")
+        .select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+        .withColumn("place", F.row_number().over(newest))
+        .where("place = 1")
+        .select(
+            "o_custkey",
+            F.col("o_totalprice").alias("last_price"),
+            F.col("o_orderstatus").alias("last_status"),
+            F.col("o_orderpriority").alias("last_priority"),
+        )
+    )
+    facts = facts.join(latest, "o_custkey").select(
+        "o_custkey", "n_orders", "n_items", "sum_price", "last_price", "last_status", "last_priority", "last_date", "first_date", "urgent98"
+    )
     customers = read_table(spark, folder, "customer")
     return (
         customers.join(facts, customers.c_custkey == facts.o_custkey, "left")
