@@ -11,6 +11,8 @@ from panelforge.operators.ranks import in_order
 
 # Columns with at most this many values are encoded by an in-plan array.
 MAX_LEVELS = 1000
+# Columns whose moments one job works out.
+MOMENT_COLUMNS = 16
 # Types whose values have a literal; columns of other types always get an index table.
 LITERAL_TYPES = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "double")
 
@@ -118,12 +120,19 @@ def require_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation per column from one aggregate row."""
-    aggregates = []
-    for i, c in enumerate(columns):
-        aggregates += [F.avg(named(c)).alias(f"m{i}"), F.stddev_pop(named(c)).alias(f"s{i}")]
-    row = df.agg(*aggregates).first()
-    return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+    """Mean and population deviation per column, from one aggregate row for every few columns.
+
+    Spark generates no code for plans of more than 100 fields, and a column has five here.
+    """
+    found = {}
+    for start in range(0, len(columns), MOMENT_COLUMNS):
+        some = columns[start : start + MOMENT_COLUMNS]
+        aggregates = []
+        for i, c in enumerate(some):
+            aggregates += [F.avg(named(c)).alias(f"m{i}"), F.stddev_pop(named(c)).alias(f"s{i}")]
+        row = df.agg(*aggregates).first()
+        found.update({c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(some)})
+    return found
 
 
 def standardised(column: str, mean: float, deviation: float) -> Column:

@@ -1,17 +1,20 @@
 """What the plans look like, where that decides how a job scales."""
 
 import contextlib
+import datetime
 import io
 
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
+from panelforge.catalog import views as v
 from panelforge.functions import codebook as cb
 from panelforge.operators import filters as fl
 from panelforge.operators import metrics as mt
 from panelforge.operators import neighbours as nb
 from panelforge.operators import profile as pf
+from panelforge.operators.encode import moments
 from panelforge.operators.ranks import hashed_rank
 from panelforge.sources import pages as pg
 from panelforge.sources.tables import read_survey
@@ -91,3 +94,29 @@ def test_a_cluster_has_to_name_its_checkpoint_folder():
 
     with pytest.raises(RuntimeError):
         shared_folder(Session())
+
+
+def test_facts_of_customers_need_no_sort_based_aggregate(spark, tmp_path):
+    day = datetime.date
+    spark.createDataFrame([(1, 10.0, 3), (2, 20.0, 4)], "c_custkey long, c_acctbal double, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    orders = [
+        (1, 1, day(1998, 1, 2), 5.0, "O", "1-URGENT"), (2, 1, day(1998, 3, 1), 6.0, "F", None),
+        (3, 1, day(1998, 3, 1), 7.0, None, "2-HIGH"), (4, 1, None, 8.0, "P", "5-LOW"), (5, None, day(1999, 1, 1), 9.0, "O", "5-LOW"),
+    ]
+    columns = "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderstatus string, o_orderpriority string"
+    spark.createDataFrame(orders, columns).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1,), (1,), (3,)], "l_orderkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = v.customer_orders(spark, str(tmp_path))
+    assert "SortAggregate" not in plan_of(out)
+    found = {r["c_custkey"]: r for r in out.collect()}
+    one = found[1]
+    assert (one["n_orders"], one["n_items"], one["sum_price"], one["urgent98"]) == (4, 3, 26.0, 1)
+    assert (one["last_price"], one["last_status"], one["last_priority"]) == (7.0, None, "2-HIGH")
+    assert (one["first_date"], one["last_date"]) == (day(1998, 1, 2), day(1998, 3, 1))
+    assert found[2]["n_orders"] is None and found[2]["last_price"] is None
+
+
+def test_moments_of_many_columns_come_in_their_order(spark):
+    df = spark.range(50).selectExpr(*[f"id * {i} AS c{i}" for i in range(40)])
+    found = moments(df, df.columns)
+    assert list(found) == df.columns and all(m == pytest.approx(24.5 * i) for i, (m, _) in enumerate(found.values()))
