@@ -267,3 +267,21 @@ def test_vectors_are_equal_by_value_and_gap(spark):
     rows = [(1, 0.0, None), (2, -0.0, None), (3, None, 0.0), (4, float("nan"), 0.0), (5, float("nan"), -0.0)]
     df = spark.createDataFrame(rows, "id long, a double, b double").withColumn("v", nb.vector_key(["a", "b"]))
     assert sorted(r["id"] for r in nb.first_per_vector(df, "v", "id", 1).collect()) == [1, 3, 4]
+
+
+def test_rough_distances_with_and_without_gaps_agree():
+    draw = np.random.default_rng(3)
+    a, b = draw.normal(size=(30, 6)), draw.normal(size=(40, 6))
+    plain, off = nb._rough_distances(a, b, 6)
+    gapped, _ = nb._rough_distances(np.column_stack([a, np.full(30, np.nan)]), np.column_stack([b, np.zeros(40)]), 6)
+    exact = ((a[:, None] - b) ** 2).sum(axis=2)
+    assert abs(plain - exact).max() <= off and np.allclose(gapped, exact)
+
+
+def test_candidates_are_matched_as_arrow_and_sorted_by_a_hash(spark, capsys):
+    """Values of vectors are not turned into Python objects, and compared only where hashes are equal."""
+    points = {i: np.array([i % 7, i % 5, 1.0]) for i in range(60)}
+    d = cut(frame(spark, points, "d").withColumn("v", nb.vector_key(DIMS)))
+    nb.nearest_join(d.dropDuplicates(["v"]), nb.first_per_vector(d, "v", "d", 3), DIMS, 3, "v", "d", ["a"]).explain()
+    plan = capsys.readouterr().out
+    assert "FlatMapCoGroupsInArrow" in plan and plan.count("xxhash64(v") >= 1 and "xxhash64(query" in plan
